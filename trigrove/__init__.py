@@ -1,0 +1 @@
+"""Typo-tolerant search over tabular data as Spark plans."""

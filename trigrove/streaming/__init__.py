@@ -1,0 +1,2 @@
+"""Nothing streams here: an index is rebuilt as a whole, and readers pick up the
+new one by ``SearchEngine.refresh``."""
