@@ -85,8 +85,15 @@ def query_trigrams(q: str) -> Counter:
 
 
 def trigrams(text: Column) -> Column:
-    """All trigrams of the lower-cased text, in order."""
-    chars = F.split(F.lower(text), "")
+    """All trigrams of the lower-cased text, in order.
+
+    The characters are bound by an outer lambda: used as an expression within the
+    inner one, the text would be split anew for each of them."""
+    bound = F.transform(F.array(F.split(F.lower(text), "")), _triples)
+    return F.when(text.isNotNull(), F.get(bound, F.lit(0)))
+
+
+def _triples(chars: Column) -> Column:
     return F.filter(F.transform(chars, lambda c, i: F.concat(c, F.get(chars, i + 1), F.get(chars, i + 2))), lambda g: g.isNotNull())
 
 
