@@ -58,15 +58,15 @@ LABELS = Table("labels", "doc_id", (Field("toxic", "boolean"), Field("quality",
 PAGES = Table("pages", "page_id", (text("url"),))
 
 SEARCHES: dict[str, tuple[Table, Query]] = {
-    "fuzzy_basic": (PART, Query("burnished stel")),
+    "fuzzy_basic": (PART, Query("smal wigdet")),
     "fuzzy_typo_long_text": (DOCS, Query("worthles thinking", limit=20)),
-    "fuzzy_duplicate_trigrams": (PART, Query("lalalal")),
-    "fuzzy_multi_field": (PART2, Query("standard brass")),
+    "fuzzy_duplicate_trigrams": (PART, Query("ear ear ear")),
+    "fuzzy_multi_field": (PART2, Query("standard plaet")),
     "fuzzy_short_query_is_browse": (PART, Query("ab")),
-    "fuzzy_with_keyword_filter": (PART, Query("green", (("p_brand", "Brand#11"),))),
-    "fuzzy_with_in_list": (PART, Query("green", (("p_brand", "Brand#11,Brand#12,Brand#11"),))),
-    "fuzzy_with_range": (PART, Query("blue", ranges=(Range("p_retailprice", 1000.0, 1500.0),))),
-    "fuzzy_with_filter_and_sort": (PART, Query("green", (("p_type", " standard "),), sort_by="p_retailprice", limit=50)),
+    "fuzzy_with_keyword_filter": (PART, Query("red plat", (("p_brand", "Brand#11"),))),
+    "fuzzy_with_in_list": (PART, Query("red plat", (("p_brand", "Brand#11,Brand#12,Brand#11"),))),
+    "fuzzy_with_range": (PART, Query("blue rnig", ranges=(Range("p_retailprice", 1000.0, 1500.0),))),
+    "fuzzy_with_filter_and_sort": (PART, Query("old rod", (("p_type", " standard "),), sort_by="p_retailprice", limit=50)),
     "fuzzy_url": (PAGES, Query("cheap-pils.example", limit=50)),
     "filter_enum": (CUSTOMER, Query(filters=(("c_mktsegment", " building "),), limit=1000)),
     "filter_keyword": (PART, Query(filters=(("p_brand", "Brand#21"),), limit=1000)),
@@ -82,8 +82,8 @@ SEARCHES: dict[str, tuple[Table, Query]] = {
     "sort_number_asc": (ORDERS, Query(sort_by="o_totalprice", ascending=True, limit=50)),
     "sort_number_desc": (ORDERS, Query(sort_by="o_totalprice", limit=50)),
     "sort_number_offset": (ORDERS, Query(filters=(("o_orderstatus", "F"),), sort_by="o_totalprice", limit=25, offset=100)),
-    "sort_string_page_local_asc": (PART, Query("green", sort_by="p_brand", ascending=True)),
-    "sort_string_page_local_desc": (PART, Query("green", sort_by="p_type", limit=40, offset=20)),
+    "sort_string_page_local_asc": (PART, Query("hot gizmo", sort_by="p_brand", ascending=True)),
+    "sort_string_page_local_desc": (PART, Query("hot gizmo", sort_by="p_type", limit=40, offset=20)),
     "sort_boolean_is_relevance": (LABELS, Query(sort_by="toxic", limit=40)),
     "browse_all": (CUSTOMER, Query(limit=1000)),
     "offset_page": (CUSTOMER, Query("customer", limit=30, offset=60)),
@@ -122,20 +122,21 @@ def search_sql(t: Table, q: Query) -> str:
     named = {f.name: f for f in t.fields}
 
     def terms(f: Field, weights: dict[str, int], name: str) -> None:
-        low = f"lower({f.name})"
         if f.analyzed == "trigram":
-            cut, dl = f"list_transform(range(1, length({low}) - 1), lambda i: {low}[i:i + 2])", f"greatest(length({low}) - 2, 0)"
+            cut, dl = f"string_split(lower({f.name}), '')", "greatest(len(c) - 2, 0)"
+            term = "unnest(list_transform(list_zip(c, c[2:], c[3:]), lambda x: x[1] || x[2] || x[3]))"
         else:
-            cut = f"list_filter(regexp_split_to_array({low}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' and octet_length(encode(w)) < 40)"
-            dl = f"len({cut})"
+            cut, dl = f"list_filter(regexp_extract_all(lower({f.name}), '[\\p{{L}}\\p{{N}}]+'), lambda w: octet_length(encode(w)) < 40)", "len(c)"
+            term = "unnest(c)"
         values = ", ".join(f"({_q(w)}, {k}::double)" for w, k in weights.items())
         ctes.extend(
             [
                 f"{name}q(term, k) as (values {values})",
-                f"{name}g as (select _doc_id, {dl} as dl, unnest({cut}) as term from d where {f.name} is not null)",
+                f"{name}c as (select _doc_id, {cut} as c from d where {f.name} is not null)",
+                f"{name}g as (select _doc_id, {dl} as dl, {term} as term from {name}c)",
                 f"{name}t as (select _doc_id, term, count(*)::double as tf, any_value(dl)::double as dl from {name}g where term in (select term from {name}q) group by _doc_id, term)",
                 f"{name}d as (select term, count(*)::double as df from {name}t group by term)",
-                f"{name}a as (select sum(coalesce({dl}, 0))::double / count(*) as avgdl from d)",
+                f"{name}a as (select (select sum({dl}) from {name}c)::double / n as avgdl from n)",
                 f"{name}s as (select _doc_id, sum(k * ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2::double * tf / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) as s from {name}t join {name}d using (term) join {name}q using (term), {name}a, n group by _doc_id)",
             ]
         )
@@ -269,7 +270,7 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _POSTED = "select 'p_name' as field, term, _doc_id, count(*)::int as tf, any_value(dl)::int as dl from (select p_partkey::bigint as _doc_id, length(p_name) - 2 as dl, unnest(list_transform(range(1, length(p_name) - 1), lambda i: lower(p_name)[i:i + 2])) as term from part) group by term, _doc_id"
-_WORDED = r"select 'text' as field, term, _doc_id, count(*)::int as tf, any_value(dl)::int as dl from (select doc_id as _doc_id, len(w) as dl, unnest(w) as term from (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '' and octet_length(encode(w)) < 40) as w from documents)) group by term, _doc_id"
+_WORDED = r"select 'text' as field, term, _doc_id, count(*)::int as tf, any_value(dl)::int as dl from (select doc_id as _doc_id, len(w) as dl, unnest(w) as term from (select doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: octet_length(encode(w)) < 40) as w from documents)) group by term, _doc_id"
 _BATCH = """
 with q as (select item_id as qid, unnest(list_transform(range(1, length(text) - 1), lambda i: lower(text)[i:i + 2])) as term from benchmark),
 k as (select qid, term, count(*)::double as k from q group by qid, term),
