@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIOD = 1024  # slots of a period, about, where shares come from sizes
+CELLS = 200_000  # cells whose first ranks are broadcast (some 10 MB); with more, rows are shuffled to them
 
 
 def period(shares: list[int]) -> list[int]:
@@ -96,8 +97,9 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = 64,
         key = None if r["source"] is None else str(r["source"])
         sizes[key] = sizes.get(key, 0) + r["count"]
     names = sorted(sizes, key=lambda x: (x is not None, x or ""))
-    number = F.create_map(*[F.lit(x) for s in names if s is not None for x in (s, ceil(sizes[s] / max(1024, isqrt(sizes[s]))))] or [F.lit(""), F.lit(1)])
-    lone = ceil(sizes.get(None, 1) / max(1024, isqrt(sizes.get(None, 1))))
+    many = {s: ceil(n / max(1024, isqrt(n))) for s, n in sizes.items()}
+    number = F.create_map(*[F.lit(x) for s in names if s is not None for x in (s, many[s])] or [F.lit(""), F.lit(1)])
+    lone = many.get(None, 1)
     cells = F.when(F.col("__s").isNull(), F.lit(lone)).otherwise(F.try_element_at(number, "__s"))
     d = d.withColumn("__c", F.floor((F.shiftrightunsigned("__h", 1) / F.lit(float(2**63))) * cells).cast("long"))
     per = d.groupBy("__s", "__c").agg(F.count(F.lit(1)).alias("__n"))
@@ -105,6 +107,8 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = 64,
     at = F.row_number().over(Window.partitionBy("__s", "__c").orderBy("__h", "__id")) - 1
     d = d.withColumn("__at", at)
     before = before.select(F.col("__s").alias("__s2"), F.col("__c").alias("__c2"), "__before")
+    if sum(many.values()) <= CELLS:
+        before = F.broadcast(before)
     d = d.join(before, d["__s"].eqNullSafe(before["__s2"]) & (d["__c"] == before["__c2"])).withColumn("__rank", F.col("__before") + F.col("__at"))
     d = d.withColumn("mix_block", F.floor(F.col("__rank") / block).cast("long")).withColumn("__in", F.col("__rank") % block)
     share = shares_by_size([sizes[s] for s in names], temperature) if weights is None else [int(weights.get(s, 1)) for s in names]
