@@ -24,6 +24,7 @@ from .common import staged
 _WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 8_000_000  # of test items that one pass holds in memory
+FEW = 200_000  # ids that are broadcast (some 10 MB); with more, documents are shuffled to them
 
 
 def words(text: str | None) -> list[str]:
@@ -188,4 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that hold a test item."""
     bad = contaminated(docs, benchmark, n, threshold).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = staged(bad, "contaminated")
+    if bad.count() <= FEW:
+        bad = F.broadcast(bad)
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti").select(*docs.columns)
