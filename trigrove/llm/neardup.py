@@ -9,7 +9,9 @@ position left out, and every pair within ``T`` meets under some key.
 
 What meets is confirmed on full shingle sets.  No step lists the pairs of a
 group: keys yield spanning forests, their components ("groups") are compared in
-blocks through inverted lists, and again only forests leave a task.
+blocks through inverted lists, and again only forests leave a task.  A group of
+many blocks is first compared with a few pivots, which joins copies of one text
+at a linear cost; only blocks that this leaves apart are compared in pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ SHINGLE = 5
 BUCKET = 2048  # members of a key that are compared by signature in one task
 BLOCK = 1024  # documents of a block
 BLOCK_SHINGLES = 1_000_000  # and shingles of a block, on average
+PIVOTS = 32  # documents, about, of a group of several blocks that each of its blocks is compared with first
 _rng = np.random.default_rng(20240501)
 _MUL = (_rng.integers(0, 2**31, K, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _MUL2 = (_rng.integers(0, 2**31, K, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -182,10 +185,11 @@ def confirmed_forest(ids: list[int], side: list[int], group: list[int], texts: l
     lo[order] = start
     hi[order] = np.searchsorted(flat, flat, "right")
     at = np.concatenate([[0], np.cumsum(sizes)])
+    fewer = 1 if two and 2 * sum(side) <= n else 0
     for i in range(n):
         if f.left == 1:
             break
-        if two and side[i] != side[0]:
+        if two and side[i] != fewer:
             continue
         count = np.zeros(n, np.int64)
         a, b = lo[at[i] : at[i + 1]], hi[at[i] : at[i + 1]]
@@ -267,6 +271,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     links = staged(_compare(inner, num, den), "nd-links")
     wide = firsts.where("nb > 1")
     if not wide.isEmpty():
+        links = staged(links.unionByName(_pivoted(wide, links, num, den)), "nd-pivoted")
         links = links.unionByName(_across(wide, links, num, den))
     root = components(links, "nd-cc").selectExpr("node as rid", "root")
     named = classes.select("h1", "h2", "rid", "copies").join(root, "rid", "left").select("h1", "h2", F.coalesce("root", "rid").alias("cid"), "copies")
@@ -281,6 +286,20 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     )
 
 
+def _pivoted(wide: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between the blocks of large groups and some of their documents: of
+    each group those with a small hash, ``PIVOTS`` on average, sent to all its
+    blocks.  It only saves work: what no pivot links, ``_across`` compares."""
+    root = components(links, "nd-inner").selectExpr("node as rid", "root")
+    w = wide.join(root, "rid", "left").select("gid", "nb", "b", F.coalesce("root", "rid").alias("known"), "rid", "text")
+    w = staged(w, "nd-members-known")
+    chosen = w.where(F.pmod(F.xxhash64(F.lit(5), "rid"), F.col("nb") * BLOCK) < PIVOTS)
+    sent = chosen.select("gid", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("to"), "b", "known", "rid", "text").where("to <> b")
+    block = F.lit(-1).alias("b2")
+    parts = w.select("gid", F.col("b").alias("b1"), block, F.lit(0).alias("side"), "known", "rid", "text").unionByName(sent.select("gid", F.col("to").alias("b1"), block, F.lit(1).alias("side"), "known", "rid", "text"))
+    return _compare(parts, num, den)
+
+
 def _across(wide: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
     """Links between blocks of groups of more than one block.
 
@@ -290,11 +309,13 @@ def _across(wide: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
     root = components(links, "nd-part").selectExpr("node as rid", "root")
     w = wide.join(root, "rid", "left").withColumn("known", F.coalesce("root", "rid")).drop("root")
     per = w.groupBy("gid", "known").agg(F.count(F.lit(1)).alias("kn"))
-    w = w.join(per, ["gid", "known"])
     own = F.col("kn") >= BLOCK // 2
+    of = per.groupBy("gid").agg(F.sum("kn").alias("gn"), F.sum(F.when(~own, F.col("kn")).otherwise(0)).alias("mixed"))
+    w = w.join(per, ["gid", "known"]).join(of, "gid")
     # Blocks of a known component are named by it; those of mixed documents by -1.
     w = w.withColumn("own", F.when(own, F.col("known")).otherwise(F.lit(-1)))
-    w = w.withColumn("slot", F.when(own, F.pmod(F.xxhash64("rid"), F.ceil(F.col("kn") / BLOCK))).otherwise(F.pmod(F.xxhash64("known"), F.col("nb"))).cast("int"))
+    share = lambda n: F.ceil(F.col("nb") * n / F.col("gn"))
+    w = w.withColumn("slot", F.when(own, F.pmod(F.xxhash64("rid"), share(F.col("kn")))).otherwise(F.pmod(F.xxhash64("known"), F.greatest(share(F.col("mixed")), F.lit(1)))).cast("int"))
     w = staged(w.select("gid", "own", "slot", "known", "rid", "text"), "nd-wide")
     made = w.select("gid", "own", "slot").distinct()
     ids = made.withColumn("blk", F.xxhash64("own", "slot"))
@@ -311,5 +332,4 @@ def keep_one(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
     each component stays, with all rows that repeat it.  Rows with a null
     doc_id stay if one of them has a text of its own or none."""
     kept = near_duplicates(docs, num, den).where("kept").select("doc_id").distinct()
-    cols = docs.columns
-    return docs.join(kept.withColumnRenamed("doc_id", "__kept"), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi").select(*cols)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
