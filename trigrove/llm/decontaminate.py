@@ -3,9 +3,10 @@
 Words are maximal runs of ``\\w`` in the lower-cased text.  The n-grams of the
 test items are looked for in every document in one scan, which also cuts out the
 stretches an alignment with the item could cover.  Their document frequencies,
-taken over all documents, tell which n-grams of an item are rare: those at most
-as frequent as the item's median n-gram.  Stretches with a rare seed are aligned
-with the item, word by word (+2 equal, -1 different, -1 a gap)."""
+taken over all documents, tell which n-grams of an item are rare: those in at most
+one of ``RARE`` documents, or at most as frequent as the item's median n-gram.
+Stretches with a rare seed are aligned with the item, word by word (+2 equal, -1
+different, -1 a gap)."""
 
 from __future__ import annotations
 
@@ -24,6 +25,7 @@ from .common import staged
 _WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 8_000_000  # of test items that one pass holds in memory
+RARE = 1000  # an n-gram is rare if it is in one of so many documents or fewer
 FEW = 200_000  # ids that are broadcast (some 10 MB); with more, documents are shuffled to them
 
 
@@ -164,6 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
     tests = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null")
     total = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_CHARS))
+    size = src.count()
     dealt = tests.withColumn("blk", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     out = None
     for blk in range(blocks):
@@ -177,7 +180,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
         for places in index.at.values():
             for k, _, g in places:
                 per[k].add(g)
-        rare = {k: {g for g in gs if df.get(g, 0) <= float(np.median([df.get(x, 0) for x in gs]))} for k, gs in per.items()}
+        limit = {k: max(size / RARE, float(np.median([df.get(x, 0) for x in gs]))) for k, gs in per.items()}
+        rare = {k: {g for g in gs if df.get(g, 0) <= limit[k]} for k, gs in per.items()}
         found = hits.mapInPandas(_align(items, rare, n, threshold), "doc_id long, item_id long, score double, end_word int, n_seeds int")
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -188,8 +192,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that hold a test item."""
-    bad = contaminated(docs, benchmark, n, threshold).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = contaminated(docs, benchmark, n, threshold).select("doc_id").distinct()
     bad = staged(bad, "contaminated")
     if bad.count() <= FEW:
         bad = F.broadcast(bad)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti").select(*docs.columns)
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
