@@ -65,7 +65,7 @@ SEARCHES: dict[str, tuple[Table, Query]] = {
     "fuzzy_short_query_is_browse": (PART, Query("ab")),
     "fuzzy_with_keyword_filter": (PART, Query("red plat", (("p_brand", "Brand#11"),))),
     "fuzzy_with_in_list": (PART, Query("red plat", (("p_brand", "Brand#11,Brand#12,Brand#11"),))),
-    "fuzzy_with_range": (PART, Query("blue rnig", ranges=(Range("p_retailprice", 1000.0, 1500.0),))),
+    "fuzzy_with_range": (PART, Query("blue rnig", ranges=(Range("p_retailprice", 910.0, 980.0),))),
     "fuzzy_with_filter_and_sort": (PART, Query("old rod", (("p_type", " standard "),), sort_by="p_retailprice", limit=50)),
     "fuzzy_url": (PAGES, Query("cheap-pils.example", limit=50)),
     "filter_enum": (CUSTOMER, Query(filters=(("c_mktsegment", " building "),), limit=1000)),
