@@ -9,6 +9,7 @@ import urllib.request
 import pytest
 
 from trigrove.config import Config, Field, Source
+from trigrove.operators import terms
 from trigrove.plans.engine import SearchEngine, build, lookup_request, search_request
 from trigrove.plans.search import Collection, Query, Range
 from trigrove.plans.service import server
@@ -148,3 +149,16 @@ def test_http(engine):
                 urllib.request.urlopen(top + path, timeout=60)  # noqa: S310
             assert e.value.code == code
         http.shutdown()
+
+
+def test_terms_are_counted_in_place_as_by_cutting(spark, monkeypatch):
+    rows = [(1, "aaaa aba ababa"), (2, "ñañ ñañañ 🙂a🙂a🙂"), (3, "A.B\\Q\\E.. a+a+a"), (4, None), (5, ""), (6, "ab"), (7, "xyz XYZ xyzxyz")]
+    docs = spark.createDataFrame(rows, "_doc_id long, t string")
+    for fuzzy in (True, False):
+        f = (Field("t", "text", fuzzy),)
+        every = sorted(terms.postings(docs, f).collect())
+        wanted = sorted({r.term for r in every} | {"zzz", "aa", "Aaa"})
+        assert sorted(terms.postings(docs, f, {"t": wanted}).collect()) == every and every
+        with monkeypatch.context() as m:
+            m.setattr(terms, "DIRECT", 0)
+            assert sorted(terms.postings(docs, f, {"t": wanted}).collect()) == every

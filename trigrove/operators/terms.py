@@ -4,39 +4,73 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Field
 from ..functions.canonical import text_words, trigrams
 
 
+DIRECT = 400  # terms that are counted one by one; with more, texts are cut into all their terms
+
+
 def postings(docs: DataFrame, fields: tuple[Field, ...], terms: dict[str, list[str]] | None = None) -> DataFrame:
     """(field, term, _doc_id, tf, dl) of the analyzed fields.
 
-    ``terms`` restricts each field to what a query asks for, so that only matches
-    are shuffled.  dl, the number of terms, is found before the explode: computed
-    beside it, each output row would carry the whole text."""
+    ``terms`` restricts each field to what a query asks for.  Those are counted in
+    each text where it lies, without cutting it up or shuffling.  dl, the number
+    of terms, is found before the explode: computed beside it, each output row
+    would carry the whole text.  The explodes are outer ones: of an inner one Spark
+    infers a filter on the array's size, pushes it down and makes the array twice."""
     spark = docs.sparkSession
     parts = []
     for f in fields:
         wanted = None if terms is None else terms.get(f.name)
         if f.analyzed is None or (terms is not None and not wanted):
             continue
+        there = docs.where(F.col(f.name).isNotNull())
+        if wanted is not None and len(wanted) <= DIRECT:
+            parts.append(_counted(there, f, wanted))
+            continue
         cut = trigrams if f.analyzed == "trigram" else text_words
-        t = docs.where(F.col(f.name).isNotNull()).select("_doc_id", cut(F.col(f.name)).alias("g"))
+        t = there.select("_doc_id", cut(F.col(f.name)).alias("g"))
         t = t.select("_doc_id", F.size("g").alias("dl"), F.col("g") if wanted is None else _only(wanted).alias("g"))
-        t = t.select("_doc_id", "dl", F.explode("g").alias("term"))
+        t = t.select("_doc_id", "dl", F.explode_outer("g").alias("term")).where("term is not null")
         parts.append(t.groupBy(F.lit(f.name).alias("field"), "term", "_doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl")))
     if not parts:
         return spark.createDataFrame([], "field string, term string, _doc_id long, tf int, dl int")
     return reduce(DataFrame.unionByName, parts)
 
 
-def _only(wanted: list[str]):
+def _only(wanted: list[str]) -> Column:
     return F.filter("g", lambda x: x.isin(wanted))
 
 
+def _counted(docs: DataFrame, f: Field, wanted: list[str]) -> DataFrame:
+    if f.analyzed == "trigram":
+        t = docs.select("_doc_id", F.lower(F.col(f.name)).alias("t"))
+        dl, count = F.greatest(F.char_length("t") - 2, F.lit(0)), _occurrences
+    else:
+        # A word is cheap to look for; only texts that hold one are cut.
+        has = reduce(lambda x, y: x | y, (F.contains(F.lower(F.col(f.name)), F.lit(w)) for w in wanted))
+        t = docs.where(has).select("_doc_id", text_words(F.col(f.name)).alias("t"))
+        dl, count = F.size("t"), lambda t, w: F.size(F.filter(t, lambda x: x == w))
+    hits = F.array(*[F.struct(F.lit(w).alias("term"), count(F.col("t"), w).cast("int").alias("tf")) for w in wanted])
+    t = t.select("_doc_id", dl.cast("int").alias("dl"), F.filter(hits, lambda h: h["tf"] > 0).alias("h"))
+    t = t.select("_doc_id", "dl", F.explode_outer("h").alias("h")).where("h is not null")
+    return t.select(F.lit(f.name).alias("field"), "h.term", "_doc_id", "h.tf", "dl")
+
+
+def _occurrences(text: Column, gram: str) -> Column:
+    """How often three characters stand in a text, overlaps counted.  Only those
+    that end as they begin can overlap."""
+    if len(gram) != 3:
+        return F.lit(0)
+    if gram[0] != gram[2]:
+        return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(gram), F.lit("")))) / len(gram.encode())
+    return F.when(F.instr(text, gram) > 0, F.regexp_count(text, F.lit("(?=\\Q" + gram + "\\E)"))).otherwise(0)
+
+
 def term_stats(posted: DataFrame) -> DataFrame:
     """(field, term, df)."""
     return posted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
