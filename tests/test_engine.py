@@ -10,6 +10,7 @@ import pytest
 
 from trigrove.config import Config, Field, Source
 from trigrove.operators import terms
+from trigrove.plans import search
 from trigrove.plans.engine import SearchEngine, build, lookup_request, search_request
 from trigrove.plans.search import Collection, Query, Range
 from trigrove.plans.service import server
@@ -75,7 +76,9 @@ def test_a_stored_index_ranks_like_the_documents_do(engine):
         assert key(engine.collection) == key(plain)
 
 
-def test_score_is_bm25(spark):
+@pytest.mark.parametrize("literals", [0, 100])
+def test_score_is_bm25(spark, monkeypatch, literals):
+    monkeypatch.setattr(search, "LITERALS", literals)
     d = spark.createDataFrame([(1, "abcd", ""), (2, "abcabc", ""), (3, "zzz", ""), (4, None, "")], "_doc_id long, name string, _source string")
     got = {r._doc_id: r._score for r in Collection(d, (Field("name", "text", True),)).search(Query("abcx")).collect()}
     avg = (2 + 4 + 1 + 0) / 4

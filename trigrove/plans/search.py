@@ -18,6 +18,7 @@ from ..functions.canonical import filter_value, filter_values, query_trigrams, s
 from ..operators.terms import field_stats, postings, term_stats
 
 K1, B = 1.2, 0.75
+LITERALS = 100  # terms of a query whose weights are part of the plan
 
 
 @dataclass(frozen=True)
@@ -102,14 +103,26 @@ class Collection:
         out = []
         for clause in per_clause:
             table = [(f, t, k * idf(self.size, df[f, t]), self.lengths[f][1]) for (f, t), k in clause.items() if (f, t) in df]
-            # A row for each term of the query.
-            w = self.spark.createDataFrame(table, "field string, term string, w double, avgdl double")
             norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
             s = F.col("w") * F.lit(K1 + 1) * F.col("tf") / (F.col("tf") + norm)
-            joined = rows.join(F.broadcast(w), ["field", "term"])
-            out.append(joined.groupBy("_doc_id").agg(F.sum(s).alias("s")))
+            out.append(self._with_weights(rows, table).groupBy("_doc_id").agg(F.sum(s).alias("s")))
         return out
 
+    def _with_weights(self, rows: DataFrame, table: list[tuple[str, str, float, float]]) -> DataFrame:
+        """Postings with w and avgdl; those of other terms go.  Few terms are
+        literals of the plan, which spares a job; many are broadcast, a row for
+        each term of the query."""
+        if not table or len(table) > LITERALS:
+            w = self.spark.createDataFrame(table, "field string, term string, w double, avgdl double")
+            return rows.join(F.broadcast(w), ["field", "term"])
+        weight, mean = F.lit(None).cast("double"), F.lit(None).cast("double")
+        for f in dict.fromkeys(x[0] for x in table):
+            own = [x for x in table if x[0] == f]
+            by_term = F.create_map(*[F.lit(x) for _, t, w, _ in own for x in (t, w)])
+            weight = F.when(F.col("field") == f, F.try_element_at(by_term, F.col("term"))).otherwise(weight)
+            mean = F.when(F.col("field") == f, F.lit(own[0][3])).otherwise(mean)
+        return rows.withColumns({"w": weight, "avgdl": mean}).where("w is not null")
+
     def _raw_scores(self, clauses: list[tuple[Field, list[str]]]) -> list[Column]:
         """Scores of filters on whole values: length 1, mean length the share of
         documents with a value."""
