@@ -61,6 +61,21 @@ def test_smith_waterman_is_the_full_table():
         assert dc.smith_waterman(a, b)[0] == align(a, b)
 
 
+def edited_item():
+    """An item, a text that holds it with every sixth word replaced, and how well they align."""
+    item = [f"i{k}" for k in range(60)]
+    copy = ["before", *[w if k % 6 != 5 else f"x{k}" for k, w in enumerate(item)], "after"]
+    return " ".join(item), " ".join(copy), align(item, copy) / 120
+
+
+def test_an_edited_item_in_many_documents_is_found_in_each(spark):
+    # All n-grams that are left are in 2% of the documents, the item's other ones in none.
+    item, copy, score = edited_item()
+    docs = spark.range(5000).selectExpr("id as doc_id", f"if(id % 50 = 0, '{copy}', concat('text ', id)) as text")
+    got = dc.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.score) for r in got) == [(d, score) for d in range(0, 5000, 50)] and score >= 0.75
+
+
 def test_several_blocks_of_items_give_the_same(spark, monkeypatch):
     docs, items = table()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")

@@ -1,12 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
 
 Words are maximal runs of ``\\w`` in the lower-cased text.  The n-grams of the
 test items are looked for in every document in one scan, which also cuts out the
-stretches an alignment with the item could cover.  Their document frequencies,
-taken over all documents, tell which n-grams of an item are rare: those in at most
-one of ``RARE`` documents, or at most as frequent as the item's median n-gram.
-Stretches with a rare seed are aligned with the item, word by word (+2 equal, -1
-different, -1 a gap)."""
+stretches an alignment with the item could cover.  Each stretch is aligned with
+the item, word by word (+2 equal, -1 different, -1 a gap), unless the words that
+both have, counted with repeats, can't reach the threshold.
+
+How many documents hold an n-gram plays no part: an item that is copied often has
+frequent n-grams only, so to align rare ones alone would lose its edited copies.
+A pair's verdict depends on its two texts, not on the rest of the table."""
 
 from __future__ import annotations
 
@@ -25,7 +27,6 @@ from .common import staged
 _WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 8_000_000  # of test items that one pass holds in memory
-RARE = 1000  # an n-gram is rare if it is in one of so many documents or fewer
 FEW = 200_000  # ids that are broadcast (some 10 MB); with more, documents are shuffled to them
 
 
@@ -121,7 +122,7 @@ def _scan(items: list[tuple[int, str]], n: int):
     return run
 
 
-def _align(items: list[tuple[int, str]], rare: dict[int, set[int]], n: int, threshold: float):
+def _align(items: list[tuple[int, str]], n: int, threshold: float):
     made: list[_Index] = []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,9 +132,6 @@ def _align(items: list[tuple[int, str]], rare: dict[int, set[int]], n: int, thre
         for pdf in batches:
             rows = []
             for doc, k, lo, grams, part in zip(pdf["doc_id"], pdf["k"], pdf["lo"], pdf["grams"], pdf["part"], strict=True):
-                seeds = rare[k].intersection(grams)
-                if not seeds:
-                    continue
                 item, piece = index.items[k], np.frombuffer(part, np.int32)
                 have, need = Counter(piece.tolist()), Counter(item)
                 bound = sum(min(c, have[w]) for w, c in need.items())
@@ -142,7 +140,7 @@ def _align(items: list[tuple[int, str]], rare: dict[int, set[int]], n: int, thre
                 score, end = smith_waterman(item, piece)
                 share = score / (MATCH * len(item))
                 if share >= threshold:
-                    rows.append((doc, items[k][0], share, int(lo) + end, len(seeds)))
+                    rows.append((doc, items[k][0], share, int(lo) + end, len(grams)))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "end_word", "n_seeds"])
 
     return run
@@ -153,9 +151,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
 
     Returns doc_id, item_id, score (alignment score over that of a full copy,
     ``threshold`` at least), end_word (where the best alignment ends, in words)
-    and n_seeds, one row a pair: the best of the document's stretches, the first
-    among equals.  Test items are a stated query set: they are read in blocks of
-    ``BLOCK_CHARS`` characters, each run against all rows of ``docs``.
+    and n_seeds (how many of the item's n-grams the stretch holds), one row a pair:
+    the best of the document's stretches, the first among equals.  Test items are a
+    stated query set: they are read in blocks of ``BLOCK_CHARS`` characters, each run
+    against all rows of ``docs``.
 
     Null and empty texts hold nothing; empty test items are held by nothing;
     items with fewer than ``n`` words have one seed, all of it.  Rows that
@@ -166,7 +165,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
     tests = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null")
     total = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_CHARS))
-    size = src.count()
     dealt = tests.withColumn("blk", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     out = None
     for blk in range(blocks):
@@ -174,15 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
         if not items:
             continue
         hits = staged(src.mapInPandas(_scan(items, n), "doc_id long, k int, lo int, grams array<int>, part binary"), "seeds")
-        df = {r.g: r.n for r in hits.selectExpr("explode(grams) as g").groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as the block has n-grams
-        index = _Index(items, n)
-        per: dict[int, set[int]] = defaultdict(set)
-        for places in index.at.values():
-            for k, _, g in places:
-                per[k].add(g)
-        limit = {k: max(size / RARE, float(np.median([df.get(x, 0) for x in gs]))) for k, gs in per.items()}
-        rare = {k: {g for g in gs if df.get(g, 0) <= limit[k]} for k, gs in per.items()}
-        found = hits.mapInPandas(_align(items, rare, n, threshold), "doc_id long, item_id long, score double, end_word int, n_seeds int")
+        found = hits.mapInPandas(_align(items, n, threshold), "doc_id long, item_id long, score double, end_word int, n_seeds int")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, end_word int, n_seeds int")
