@@ -36,6 +36,40 @@ def test_neighbours_share_boilerplate(spark):
     assert got[4] == "site name\nalone\nall the same" and got[5] == "site name\nfour\nall the same"
 
 
+def test_copies_keep_their_text(spark):
+    page = lambda x: f"<div>site name</div>{x}<div>all the same</div>"
+    long = [f"<p>paragraph {i}" for i in range(6)]
+    rows = [(i, f"http://a.example/x/1?q={i}", page("".join(long))) for i in range(40)]  # over several ranges
+    rows += [(50, "http://a.example/x/1/print", page("".join(long[:5])))]  # a near copy
+    rows += [(100 + i, f"http://a.example/{'a' if i == 0 else 'y'}/{i}", page(f"<p>own {i}")) for i in range(4)]
+    got = texts(spark, rows)
+    whole = [x[3:] for x in long]
+    assert {got[i] for i in range(40)} == {"\n".join(whole)} and got[50] == "\n".join(whole[:5])
+    assert [got[100 + i] for i in range(4)] == [f"own {i}" for i in range(4)]
+    # A host of nothing but copies has nothing to differ from.
+    assert set(texts(spark, [(i, "http://c.example/", page("<p>x")) for i in range(5)]).values()) == {"site name\nx\nall the same"}
+    assert [r.text for r in html.main_text(edge_pages(spark)).collect() if r.page_id == 3] == ["one\ntwo"] * 2
+
+
+def test_neighbours_are_the_nearest_of_other_lines(spark):
+    rng = random.Random(7)
+    for parts in (1, 4, 9):
+        rows, rid = [], 0
+        for host in "ab":
+            for i in range(40):  # runs of copies of one line
+                rows += [(rid := rid + 1, i, host, f"/{i:03}", [x])] if (x := rng.choice([1, 1, 1, 1, 2])) else []
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = {r.rid: r.other for r in html.neighbours(spark.createDataFrame(rows, "rid long, page_id long, host string, path string, hashes array<long>")).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for k, (r, _, host, _, own) in enumerate(rows):
+            reach = [*reversed(rows[:k]), *rows[k + 1 :]]
+            assert got[r] == next((x[4] for x in reach if x[2] == host and x[4] != own), None)
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(100):

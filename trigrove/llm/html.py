@@ -1,9 +1,11 @@
 """Main text of web pages: structure, and differences between neighbours.
 
-Pages are paired by URL path within each host: each page with the one that
-precedes it in the order of (path, page_id), the first with its successor.  The
-text lines of both are aligned by their longest common subsequence, and shared
-lines are deleted.
+Pages are paired by URL path within each host: each page with the nearest one of
+other lines that precedes it in the order of (path, page_id), the first with the
+nearest that follows.  The text lines of both are aligned by their longest common
+subsequence, and shared lines are deleted if they are the site's: on at least
+``SITE_PAGES`` of the host's distinct pages, and on half of them.  So neither copies
+of a page nor a few near copies of it delete its text.
 
 Where a page marks its article (<article>, <main>, role=main), the lines of the
 article itself aren't candidates: an article's own lines may well occur in a
@@ -41,6 +43,7 @@ _NAMES = re.compile(
     r"|cookies?|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|pagination|pager|widget|skip-?link)(?:$|[\s_-])",
     re.I,
 )
+SITE_PAGES = 3  # distinct pages of a host that a line is on at least, and half of all, to be boilerplate
 _CLOSES_P = _BLOCK - {"br", "body", "html", "head"}
 
 
@@ -189,27 +192,53 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         text = []
-        for ls, own, other in zip(pdf["lines"], pdf["hashes"], pdf["other"], strict=True):
-            gone = shared(own.tolist(), other.tolist()) if other is not None else [False] * len(ls)
+        for ls, own, other, common in zip(pdf["lines"], pdf["hashes"], pdf["other"], pdf["common"], strict=True):
+            gone = [False] * len(ls)
+            if other is not None and common is not None:
+                own, site = own.tolist(), set(common.tolist())
+                gone = [g and x in site for g, x in zip(shared(own, other.tolist()), own, strict=True)]
             text.append("\n".join(x for x, g in zip(ls, gone, strict=True) if not g))
         yield plain(pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text}))
 
 
+def site_lines(pages: DataFrame) -> DataFrame:
+    """pages(host, digest, hashes) -> (host, common): the lines that are boilerplate
+    by their frequency.  Pages of the same lines count once; a host has at most
+    twice as many such lines as a page has on average."""
+    pages = pages.groupBy("host", "digest").agg(F.first("hashes").alias("hashes"))
+    size = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    lines = pages.select("host", F.explode(F.array_distinct("hashes")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    often = lines.where(F.col("n") >= SITE_PAGES).join(size, "host").where("2 * n >= pages")
+    return often.groupBy("host").agg(F.collect_list("line").alias("common"))
+
+
 def neighbours(pages: DataFrame) -> DataFrame:
-    """pages(rid, page_id, host, path, hashes) -> (rid, other): the lines of the
-    page before it on its host, or else after it.  Hosts are cut into ranges, so
-    that no host is one task's; the ends of ranges are joined across."""
+    """pages(rid, page_id, host, path, hashes) -> (rid, other, common): the lines of
+    the nearest page of other lines before it on its host, or else after it, and the
+    host's boilerplate.  Pages without lines are left out.  Hosts are cut into
+    ranges, so that no host is one task's; the ends of ranges are joined across,
+    over any number of ranges that hold copies of one page only."""
     order = ["path", "page_id", "rid"]
-    ranged = staged(pages.repartitionByRange("host", *order).withColumn("cell", F.spark_partition_id()), "html-ranges")
+    full = pages.where(F.size("hashes") > 0).withColumn("digest", F.xxhash64("hashes"))
+    ranged = staged(full.repartitionByRange("host", *order).withColumn("cell", F.spark_partition_id()), "html-ranges")
     w = Window.partitionBy("host", "cell").orderBy(*order)
-    near = ranged.select("rid", "host", "cell", F.lag("hashes").over(w).alias("before"), F.lead("hashes").over(w).alias("after"), F.row_number().over(w).alias("at"))
-    key = F.struct(*order)
-    ends = ranged.groupBy("host", "cell").agg(F.max_by("hashes", key).alias("last"), F.min_by("hashes", key).alias("first"))
-    h = Window.partitionBy("host").orderBy("cell")
-    ends = ends.select(F.col("host").alias("h2"), F.col("cell").alias("c2"), F.lag("last").over(h).alias("left"), F.lead("first").over(h).alias("right"))
+    back = Window.partitionBy("host", "cell").orderBy(*[F.desc(c) for c in order])
+    other = lambda step: F.when(step("digest").over(w) != F.col("digest"), step("hashes").over(w))
+    near = ranged.withColumn("b", other(F.lag)).withColumn("a", other(F.lead))
+    # What lies before or after a run of copies holds for all of the run.
+    latest = lambda c, over, end: F.last(c, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, end))
+    near = near.withColumn("before", latest("b", w, 0)).withColumn("after", latest("a", back, 0)).drop("a", "b")
+    key, page = F.struct(*order), F.struct("hashes", "digest", "before", "after")
+    ends = near.groupBy("host", "cell").agg(F.max_by(page, key).alias("last"), F.min_by(page, key).alias("first"))
+    h, hback = Window.partitionBy("host").orderBy("cell"), Window.partitionBy("host").orderBy(F.desc("cell"))
+    ends = ends.withColumn("l", F.lag("last").over(h)).withColumn("r", F.lead("first").over(h))
+    ends = ends.withColumn("l", F.when(F.col("l.digest") != F.col("first.digest"), F.col("l.hashes"))).withColumn("r", F.when(F.col("r.digest") != F.col("last.digest"), F.col("r.hashes")))
+    left = F.coalesce("l", latest(F.coalesce("last.before", "l"), h, -1))
+    right = F.coalesce("r", latest(F.coalesce("first.after", "r"), hback, -1))
+    ends = ends.select("host", "cell", left.alias("left"), right.alias("right")).join(site_lines(ranged), "host", "left")
+    ends = ends.select(F.col("host").alias("h2"), F.col("cell").alias("c2"), "left", "right", "common")
     joined = near.join(ends, (near["host"] == ends["h2"]) & (near["cell"] == ends["c2"]), "left")
-    before = F.coalesce("before", F.when(F.col("at") == 1, F.col("left")))
-    return joined.select("rid", F.coalesce(before, "after", "right").alias("other"))
+    return joined.select("rid", F.coalesce("before", "left", "after", "right").alias("other"), "common")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -220,7 +249,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     A null html is an empty page; a null or odd url has an empty host and path
     and its neighbours there.  Pages of a host with the same path are ordered by
     page_id; among rows that also repeat that, any order may be taken.  A page
-    alone on its host loses no line to differences.  Other columns are ignored."""
+    whose host has fewer than ``SITE_PAGES`` distinct pages loses no line to
+    differences.  Other columns are ignored."""
     ship(pages.sparkSession)
     p = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     p = p.withColumn("rid", F.monotonically_increasing_id())
@@ -231,5 +261,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     other = neighbours(parsed.select("rid", "page_id", host.alias("host"), path.alias("path"), "hashes")) if not open_.isEmpty() else None
     out = parsed.where("lines is null").select("page_id", "url", "text")
     if other is not None:
-        out = out.unionByName(open_.join(other, "rid", "left").select("page_id", "url", "lines", "hashes", "other").mapInPandas(_differ, "page_id long, url string, text string"))
+        out = out.unionByName(open_.join(other, "rid", "left").select("page_id", "url", "lines", "hashes", "other", "common").mapInPandas(_differ, "page_id long, url string, text string"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
