@@ -51,6 +51,13 @@ def test_copies_keep_their_text(spark):
     assert [r.text for r in html.main_text(edge_pages(spark)).collect() if r.page_id == 3] == ["one\ntwo"] * 2
 
 
+def test_lines_outside_a_marked_article_are_differenced(spark):
+    page = lambda x: f"<div>site name</div><p>lead of {x}</p><article><p>{x}</p><p>all the same</p></article><div>all the same</div>"
+    got = texts(spark, [(i, f"http://a.example/{i}", page(f"page {i}")) for i in range(4)])
+    # The site's lines go, but not the article's own; what only this page has stays.
+    assert got == {i: f"lead of page {i}\npage {i}\nall the same" for i in range(4)}
+
+
 def test_neighbours_are_the_nearest_of_other_lines(spark):
     rng = random.Random(7)
     for parts in (1, 4, 9):

@@ -9,9 +9,10 @@ of a page nor a few near copies of it delete its text.
 
 Where a page marks its article (<article>, <main>, role=main), the lines of the
 article itself aren't candidates: an article's own lines may well occur in a
-neighbour (copies, quotations), and dropping them would lose text.  Lines outside
-it are dropped either way.  On pages without such a mark each line left by the
-structural rules (menus, headers, footers, scripts, ...) is a candidate."""
+neighbour (copies, quotations), and dropping them would lose text.  All other lines
+left by the structural rules (menus, headers, footers, scripts, ...) are candidates,
+on marked pages as on others: those that aren't the site's stay, so a marked element
+that holds little of a page doesn't discard the rest."""
 
 from __future__ import annotations
 
@@ -179,24 +180,26 @@ def shared(a: list[int], b: list[int]) -> list[bool]:
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        text, lines, hashes = [], [], []
+        text, lines, open_, hashes = [], [], [], []
         for h in pdf["html"]:
-            ls, inner, marked = blocks(h)
-            # Of a marked article the lines are settled; otherwise neighbours decide.
-            text.append("\n".join(x for x, i in zip(ls, inner, strict=True) if i) if marked else None)
-            lines.append(None if marked else ls)
+            ls, inner, _ = blocks(h)
+            # The lines of a marked article are settled; of the others neighbours decide.
+            settled = all(inner)
+            text.append("\n".join(ls) if settled else None)
+            lines.append(None if settled else ls)
+            open_.append(None if settled else [not i for i in inner])
             hashes.append(np.array([line_hash(x) for x in ls], np.int64))
-        yield plain(pd.DataFrame({"rid": pdf["rid"], "page_id": pdf["page_id"], "url": pdf["url"], "text": pd.Series(text, dtype=object), "lines": lines, "hashes": hashes}))
+        yield plain(pd.DataFrame({"rid": pdf["rid"], "page_id": pdf["page_id"], "url": pdf["url"], "text": pd.Series(text, dtype=object), "lines": lines, "open": open_, "hashes": hashes}))
 
 
 def _differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         text = []
-        for ls, own, other, common in zip(pdf["lines"], pdf["hashes"], pdf["other"], pdf["common"], strict=True):
+        for ls, may, own, other, common in zip(pdf["lines"], pdf["open"], pdf["hashes"], pdf["other"], pdf["common"], strict=True):
             gone = [False] * len(ls)
             if other is not None and common is not None:
                 own, site = own.tolist(), set(common.tolist())
-                gone = [g and x in site for g, x in zip(shared(own, other.tolist()), own, strict=True)]
+                gone = [g and m and x in site for g, m, x in zip(shared(own, other.tolist()), may, own, strict=True)]
             text.append("\n".join(x for x, g in zip(ls, gone, strict=True) if not g))
         yield plain(pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text}))
 
@@ -254,12 +257,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     p = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     p = p.withColumn("rid", F.monotonically_increasing_id())
-    parsed = p.mapInPandas(_parse, "rid long, page_id long, url string, text string, lines array<string>, hashes array<long>")
+    parsed = p.mapInPandas(_parse, "rid long, page_id long, url string, text string, lines array<string>, open array<boolean>, hashes array<long>")
     parsed = staged(parsed, "html-lines")
     open_ = parsed.where("lines is not null")
     host, path = split_url(F.col("url"))
     other = neighbours(parsed.select("rid", "page_id", host.alias("host"), path.alias("path"), "hashes")) if not open_.isEmpty() else None
     out = parsed.where("lines is null").select("page_id", "url", "text")
     if other is not None:
-        out = out.unionByName(open_.join(other, "rid", "left").select("page_id", "url", "lines", "hashes", "other", "common").mapInPandas(_differ, "page_id long, url string, text string"))
+        out = out.unionByName(open_.join(other, "rid", "left").select("page_id", "url", "lines", "open", "hashes", "other", "common").mapInPandas(_differ, "page_id long, url string, text string"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
