@@ -76,6 +76,15 @@ def test_an_edited_item_in_many_documents_is_found_in_each(spark):
     assert sorted((r.doc_id, r.score) for r in got) == [(d, score) for d in range(0, 5000, 50)] and score >= 0.75
 
 
+def test_a_verdict_does_not_depend_on_the_other_documents(spark):
+    item, copy, score = edited_item()
+    tests = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for others in (0, 4, 1500):
+        docs = spark.range(others + 1).selectExpr("id as doc_id", f"if(id = 0, '{copy}', concat('text ', id)) as text")
+        got = dc.contaminated(docs, tests).collect()
+        assert [(r.doc_id, r.score, r.n_seeds) for r in got] == [(0, score, 20)]
+
+
 def test_several_blocks_of_items_give_the_same(spark, monkeypatch):
     docs, items = table()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
