@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from math import isclose
 
@@ -54,6 +55,27 @@ def test_default_shares_follow_sizes():
     assert isclose(share[1] / share[0], 10, rel_tol=0.02)
 
 
+def test_default_shares_follow_sizes_with_many_sources():
+    share = mixing.shares_by_size([100] * 5000 + [250_000], 0.5)
+    assert isclose(share[-1] / sum(share), 500 / 50_500, rel_tol=0.01)
+    share = mixing.shares_by_size([1, 10**8, 10**8], 0.5)
+    assert isclose(share[1] / share[0], 10**4, rel_tol=1 / 16)
+
+
+def test_an_early_end_gives_the_same_phases():
+    rng = random.Random(3)
+    for _ in range(200):
+        shares = [rng.randrange(1, 30) for _ in range(rng.randrange(1, 6))]
+        left = [rng.randrange(1, 40) for _ in shares]
+        whole, cut, seen = mixing.period(shares), mixing.period(shares, left), Counter()
+        for t, i in enumerate(whole):
+            seen[i] += 1
+            if seen[i] == left[i]:
+                whole = whole[: t + 1]
+                break
+        assert cut == whole
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     got = mixing.mix(docs)

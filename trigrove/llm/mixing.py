@@ -17,13 +17,15 @@ from math import ceil, isqrt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIOD = 1024  # slots of a period, about, where shares come from sizes
+PERIOD = 1024  # slots of a period, about, where shares come from sizes; more if a source would have fewer than LEAST
+LEAST = 8  # slots of the smallest source, so that rounding is at most 1 in 16 of a share
 CELLS = 200_000  # cells whose first ranks are broadcast (some 10 MB); with more, rows are shuffled to them
 
 
-def period(shares: list[int]) -> list[int]:
+def period(shares: list[int], left: list[int] | None = None) -> list[int]:
     """The source of each of the sum(shares) slots, by earliest deadline first.
-    Ties: the later release, then the earlier source."""
+    Ties: the later release, then the earlier source.  With ``left`` it ends early,
+    at the slot that takes the last of a source's blocks."""
     q = sum(shares)
     waiting = [(0, i, 0) for i, a in enumerate(shares) if a > 0]
     heapq.heapify(waiting)
@@ -35,6 +37,8 @@ def period(shares: list[int]) -> list[int]:
             heapq.heappush(ready, (-(-(k + 1) * q // shares[i]), -r, i, k))
         _, _, i, k = heapq.heappop(ready)
         out.append(i)
+        if left is not None and k + 1 == left[i]:
+            break
         if k + 1 < shares[i]:
             heapq.heappush(waiting, ((k + 1) * q // shares[i], i, k + 1))
     return out
@@ -47,13 +51,14 @@ def plan(blocks: list[int], shares: list[int]) -> list[tuple[int, int, int, int,
     left, used, start, phases = list(blocks), [0] * len(blocks), 0, []
     while any(left):
         live = [a if n else 0 for a, n in zip(shares, left, strict=True)]
-        slots = period(live)
-        q = len(slots)
+        slots, q = period(live, left), sum(live)
         places: list[list[int]] = [[] for _ in blocks]
         for t, i in enumerate(slots):
             places[i].append(t)
-        last = [((n - 1) // a) * q + places[i][(n - 1) % a] for i, (n, a) in enumerate(zip(left, live, strict=True)) if n]
-        size = min(last) + 1
+        if len(slots) < q:
+            size = len(slots)
+        else:
+            size = min(((n - 1) // a) * q + places[i][(n - 1) % a] for i, (n, a) in enumerate(zip(left, live, strict=True)) if n) + 1
         took = [(size // q) * a + bisect_left(places[i], size % q) for i, a in enumerate(live)]
         phases.append((start, size, q, len(phases), places, list(used)))
         left = [n - k for n, k in zip(left, took, strict=True)]
@@ -63,9 +68,12 @@ def plan(blocks: list[int], shares: list[int]) -> list[tuple[int, int, int, int,
 
 
 def shares_by_size(sizes: list[int], temperature: float, slots: int = PERIOD) -> list[int]:
-    """Whole shares in proportion to size ** temperature, 1 at least."""
+    """Whole shares in proportion to size ** temperature: of ``slots``, or of as many
+    more as give the smallest source ``LEAST``."""
     w = [max(n, 1) ** temperature for n in sizes]
-    return [max(1, round(slots * x / sum(w))) for x in w]
+    total = sum(w)
+    slots = max(slots, LEAST * total / min(w))
+    return [round(slots * x / total) for x in w]
 
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = 64, temperature: float = 0.5, seed: int = 7) -> DataFrame:
