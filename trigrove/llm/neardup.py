@@ -237,10 +237,11 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     document), n_exact (rows with the same set).
 
     Null and empty texts have no shingles and are linked with nothing.  Rows
-    that repeat a doc_id are one document and reported as often as they come.  A null doc_id
-    takes part through its text: it never names a component unless its text is
-    alone, in which case component_id is null and kept is true.  Other columns
-    of ``docs`` are ignored, whatever their names."""
+    that repeat a doc_id are one document and reported as often as they come.  A row with
+    a null doc_id is compared by equal sets only: it joins the component of a row
+    with an id and the same set.  If no such row has an id, the set isn't searched
+    for near copies, component_id is null and kept is true for all rows that have
+    it.  Other columns of ``docs`` are ignored, whatever their names."""
     ship(docs.sparkSession)
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     sketch = staged(src.mapInPandas(_sketch, "doc_id long, n long, h1 long, h2 long, sig binary"), "nd-sketch")
@@ -330,6 +331,8 @@ def _across(wide: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
 def keep_one(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
     """``docs`` without near copies: the document with the smallest doc_id of
     each component stays, with all rows that repeat it.  Rows with a null
-    doc_id stay if one of them has a text of its own or none."""
+    doc_id aren't compared beyond equal sets, and they share a fate: all stay,
+    copies included, if one of them has no text or a set that no row with an id
+    has; otherwise all go."""
     kept = near_duplicates(docs, num, den).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
