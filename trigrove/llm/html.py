@@ -1,18 +1,16 @@
 """Main text of web pages: structure, and differences between neighbours.
 
 Pages are paired by URL path within each host: each page with the nearest one of
-other lines that precedes it in the order of (path, page_id), the first with the
-nearest that follows.  The text lines of both are aligned by their longest common
-subsequence, and shared lines are deleted if they are the site's: on at least
-``SITE_PAGES`` of the host's distinct pages, and on half of them.  So neither copies
-of a page nor a few near copies of it delete its text.
-
-Where a page marks its article (<article>, <main>, role=main), the lines of the
-article itself aren't candidates: an article's own lines may well occur in a
-neighbour (copies, quotations), and dropping them would lose text.  All other lines
-left by the structural rules (menus, headers, footers, scripts, ...) are candidates,
-on marked pages as on others: those that aren't the site's stay, so a marked element
-that holds little of a page doesn't discard the rest."""
+other text that precedes it in the order of (path, page_id), the first with the
+nearest that follows.  The text lines of both, those of menus and footers included,
+are aligned by their longest common subsequence.  This is done for every page.
+
+A line goes if the structure shows it to be boilerplate, or if it is shared with the
+neighbour, is the site's (on at least ``SITE_PAGES`` of the host's distinct pages, and
+on half of them) and isn't of the marked article (<article>, <main>, role=main).  The
+first condition keeps what two pages happen to share, the last what an article quotes:
+neither copies of a page nor near copies of it delete its text, and lines outside a
+marked article stay unless they are the site's."""
 
 from __future__ import annotations
 
@@ -46,68 +44,88 @@ _NAMES = re.compile(
 )
 SITE_PAGES = 3  # distinct pages of a host that a line is on at least, and half of all, to be boilerplate
 _CLOSES_P = _BLOCK - {"br", "body", "html", "head"}
+_NO_ARTICLE = {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "advertisement", "promo", "sponsored", "related", "recommended", "teaser"}
+_LOOSE = {"form", "fieldset"}  # some sites wrap the whole page in one
+
+#: Kinds of line: boilerplate by structure, of the marked article, any other.
+GONE, OWN, OPEN = 0, 1, 2
+
+
+def _names(attrs: str) -> Iterator[tuple[str, str]]:
+    for name, a, b, c in _ATTR.findall(attrs):
+        yield name.lower(), a or b or c
 
 
 def _main(tag: str, attrs: str) -> bool:
-    return tag in ("article", "main") or ("role" in attrs and re.search(r"\brole\s*=\s*[\"']?(?:main|article)\b", attrs) is not None)
+    if tag in ("article", "main"):
+        return not attrs or not any(n in ("class", "id") and _NO_ARTICLE & set(v.lower().split()) for n, v in _names(attrs))
+    return "role" in attrs and re.search(r"\brole\s*=\s*[\"']?(?:main|article)\b", attrs) is not None
 
 
-def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
+def _boilerplate(tag: str, attrs: str, inside: bool) -> int:
+    """0: no; 1: yes, but for a marked article in it; 2: yes.  A name that is only
+    part of a class's (has-sidebar) may well be a wrapper's."""
+    if tag in _LOOSE:
+        return 1
     if tag in _DROP or (tag == "header" and not inside):
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    for name, a, b, c in _ATTR.findall(attrs):
-        name, value = name.lower(), a or b or c
-        if name in ("class", "id") and _NAMES.search(value):
-            return True
+        return 2
+    if not attrs or tag in ("html", "body"):
+        return 0
+    found = 2 if tag in ("article", "main") and not _main(tag, attrs) else 0
+    for name, value in _names(attrs):
+        if tag not in ("article", "main") and name in ("class", "id") and _NAMES.search(value):
+            found = max(found, 2 if any((m := _NAMES.search(w)) and m[0] == w for w in value.split()) else 1)
         if name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return name_only_hidden(attrs)
-
-
-def name_only_hidden(attrs: str) -> bool:
-    return "hidden" in attrs and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) is not None
+            found = 2
+    return 2 if "hidden" in attrs and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) is not None else found
 
 
-def blocks(html: str | None) -> tuple[list[str], list[bool], bool]:
-    """(lines, which are of the marked article, whether one is marked): a page's
-    text blocks in order without what the structure shows to be boilerplate.
+def blocks(html: str | None) -> tuple[list[str], list[int]]:
+    """(lines, their kinds): a page's text blocks in order.
 
     Character references are decoded, white space is one space, empty blocks are
     left out.  Unclosed elements end with the page, or with the element that they
-    are in; text cut off within a tag is no text."""
+    are in; text cut off within a tag is no text, nor are scripts and styles."""
     lines: list[str] = []
-    inner: list[bool] = []
-    marked = False
-    buf: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, starts boilerplate, starts the article
-    drop = main = 0
+    kinds: list[int] = []
+    kept: list[str] = []
+    dropped: list[str] = []
+    stack: list[tuple[str, int, int, int]] = []  # tag, adds to hard, loose, main
+    hard = loose = main = 0
     text = html or ""
 
     def flush() -> None:
-        if buf:
-            line = _SPACE.sub(" ", unescape("".join(buf))).strip()
-            buf.clear()
-            if line:
-                lines.append(line)
-                inner.append(main > 0)
+        for buf, kind in ((kept, OWN if main else OPEN), (dropped, GONE)):
+            if buf:
+                line = _SPACE.sub(" ", unescape("".join(buf))).strip()
+                buf.clear()
+                if line:
+                    lines.append(line)
+                    kinds.append(kind)
+
+    def pop(down_to: int) -> None:
+        nonlocal hard, loose, main
+        for _, h, s, m in stack[down_to:]:
+            hard -= h
+            loose -= s
+            main -= m
+        del stack[down_to:]
 
     at, end = 0, len(text)
     while at < end:
         m = _TOKEN.search(text, at)
+        buf = dropped if hard or loose else kept
         if m is None:
             rest = text[at:]
             cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)
-            if not drop:
-                buf.append(rest[: cut.start()] if cut else rest)
+            buf.append(rest[: cut.start()] if cut else rest)
             break
-        if m.start() > at and not drop:
+        if m.start() > at:
             buf.append(text[at : m.start()])
         at = m.end()
         tag = (m[3] or m[6] or "").lower()
         if not tag:
-            if m[1] and not drop:
+            if m[1]:
                 buf.append(m[1])
             continue
         closing, attrs = bool(m[2] or m[5]), m[4] or m[7] or ""
@@ -116,12 +134,9 @@ def blocks(html: str | None) -> tuple[list[str], list[bool], bool]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    for _, d, a in stack[k:]:
-                        drop -= d
-                        main -= a
-                    del stack[k:]
+                    pop(k)
                     break
-                if tag not in _BLOCK or stack[k][2] or (stack[k][1] and stack[k][0] in _BLOCK and tag in ("p", "li", "b", "i", "span", "div")):
+                if tag not in _BLOCK or stack[k][3] or (stack[k][1] + stack[k][2] > 0 and stack[k][0] in _BLOCK and tag in ("p", "li", "b", "i", "span", "div")):
                     break  # a stray end tag closes nothing outside the element it is in
             continue
         if tag in _RAW:
@@ -130,22 +145,16 @@ def blocks(html: str | None) -> tuple[list[str], list[bool], bool]:
             continue
         if tag in _VOID or attrs.endswith("/") and tag not in _BLOCK:
             continue
-        if tag in _CLOSES_P and stack and stack[-1][0] == "p":
-            _, d, a = stack.pop()
-            drop -= d
-            main -= a
-        if tag == "li" and stack and stack[-1][0] == "li":
-            _, d, a = stack.pop()
-            drop -= d
-            main -= a
-        is_main = not drop and _main(tag, attrs)
-        is_drop = not is_main and _boilerplate(tag, attrs, main > 0)
-        marked |= is_main
-        drop += is_drop
-        main += is_main
-        stack.append((tag, is_drop, is_main))
+        if stack and (stack[-1][0] == "p" and tag in _CLOSES_P or stack[-1][0] == tag == "li"):
+            pop(len(stack) - 1)
+        is_main = not hard and _main(tag, attrs)
+        level = 0 if is_main else _boilerplate(tag, attrs, main > 0)
+        # An article sets aside what is loosely boilerplate around it.
+        adds = (int(level == 2), -loose if is_main else int(level == 1), int(is_main))
+        hard, loose, main = hard + adds[0], loose + adds[1], main + adds[2]
+        stack.append((tag, *adds))
     flush()
-    return lines, inner, marked
+    return lines, kinds
 
 
 def line_hash(line: str) -> int:
@@ -178,36 +187,50 @@ def shared(a: list[int], b: list[int]) -> list[bool]:
     return out
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each page the hashes of its lines, their kinds, and a digest of its text."""
     for pdf in batches:
-        text, lines, open_, hashes = [], [], [], []
+        hashes, marks, digests = [], [], []
         for h in pdf["html"]:
-            ls, inner, _ = blocks(h)
-            # The lines of a marked article are settled; of the others neighbours decide.
-            settled = all(inner)
-            text.append("\n".join(ls) if settled else None)
-            lines.append(None if settled else ls)
-            open_.append(None if settled else [not i for i in inner])
-            hashes.append(np.array([line_hash(x) for x in ls], np.int64))
-        yield plain(pd.DataFrame({"rid": pdf["rid"], "page_id": pdf["page_id"], "url": pdf["url"], "text": pd.Series(text, dtype=object), "lines": lines, "open": open_, "hashes": hashes}))
+            lines, kinds = blocks(h)
+            own = np.array([line_hash(x) for x in lines], np.int64)
+            marks.append(bytes(kinds))
+            hashes.append(own)
+            digests.append(xxhash.xxh3_64_intdigest(own[np.array(kinds, np.int8) != GONE].tobytes()) - 2**63)
+        out = pdf[["k1", "k2", "page_id", "host", "path"]].copy()
+        out["hashes"], out["kinds"], out["digest"] = hashes, marks, pd.Series(digests, dtype="int64", index=out.index)
+        yield plain(out)
+
+
+def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each page how many lines its neighbour has too, and which of them go."""
+    for pdf in batches:
+        many, gone = [], []
+        for own, kinds, other, common in zip(pdf["hashes"], pdf["kinds"], pdf["other"], pdf["common"], strict=True):
+            own = own.tolist()
+            both = shared(own, other.tolist()) if other is not None else [False] * len(own)
+            site = set(common.tolist()) if common is not None else ()
+            many.append(sum(both))
+            gone.append([i for i, x in enumerate(own) if both[i] and kinds[i] == OPEN and x in site])
+        yield pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "n_shared": pd.Series(many, dtype="int64", index=pdf.index), "gone": pd.Series(gone, index=pdf.index, dtype=object)})
 
 
-def _differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        text = []
-        for ls, may, own, other, common in zip(pdf["lines"], pdf["open"], pdf["hashes"], pdf["other"], pdf["common"], strict=True):
-            gone = [False] * len(ls)
-            if other is not None and common is not None:
-                own, site = own.tolist(), set(common.tolist())
-                gone = [g and m and x in site for g, m, x in zip(shared(own, other.tolist()), may, own, strict=True)]
-            text.append("\n".join(x for x, g in zip(ls, gone, strict=True) if not g))
-        yield plain(pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text}))
+        text, cut = [], []
+        for h, gone in zip(pdf["html"], pdf["gone"], strict=True):
+            without = set(gone.tolist()) if gone is not None else ()
+            text.append("\n".join(x for i, (x, k) in enumerate(zip(*blocks(h), strict=True)) if k != GONE and i not in without))
+            cut.append(len(without))
+        out = pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_shared": pdf["n_shared"].fillna(0).astype("int64")})
+        out["n_removed"] = pd.Series(cut, dtype="int64", index=out.index)
+        yield plain(out)
 
 
 def site_lines(pages: DataFrame) -> DataFrame:
     """pages(host, digest, hashes) -> (host, common): the lines that are boilerplate
-    by their frequency.  Pages of the same lines count once; a host has at most
-    twice as many such lines as a page has on average."""
+    by their frequency.  Pages of the same text count once; a host has at most twice
+    as many such lines as a page has on average."""
     pages = pages.groupBy("host", "digest").agg(F.first("hashes").alias("hashes"))
     size = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     lines = pages.select("host", F.explode(F.array_distinct("hashes")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
@@ -216,14 +239,13 @@ def site_lines(pages: DataFrame) -> DataFrame:
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """pages(rid, page_id, host, path, hashes) -> (rid, other, common): the lines of
-    the nearest page of other lines before it on its host, or else after it, and the
-    host's boilerplate.  Pages without lines are left out.  Hosts are cut into
-    ranges, so that no host is one task's; the ends of ranges are joined across,
-    over any number of ranges that hold copies of one page only."""
-    order = ["path", "page_id", "rid"]
-    full = pages.where(F.size("hashes") > 0).withColumn("digest", F.xxhash64("hashes"))
-    ranged = staged(full.repartitionByRange("host", *order).withColumn("cell", F.spark_partition_id()), "html-ranges")
+    """pages(k1, k2, page_id, host, path, digest, hashes, ...) with other (the lines of
+    the nearest page of another digest before it on its host, or else after it) and
+    common (the host's boilerplate).  Hosts are cut into ranges, so that no host is
+    one task's; the ends of ranges are joined across, over any number of ranges that
+    hold copies of one page only."""
+    order = ["path", "page_id", "k1", "k2"]
+    ranged = staged(pages.repartitionByRange("host", *order).withColumn("cell", F.spark_partition_id()), "html-ranges")
     w = Window.partitionBy("host", "cell").orderBy(*order)
     back = Window.partitionBy("host", "cell").orderBy(*[F.desc(c) for c in order])
     other = lambda step: F.when(step("digest").over(w) != F.col("digest"), step("hashes").over(w))
@@ -241,28 +263,33 @@ def neighbours(pages: DataFrame) -> DataFrame:
     ends = ends.select("host", "cell", left.alias("left"), right.alias("right")).join(site_lines(ranged), "host", "left")
     ends = ends.select(F.col("host").alias("h2"), F.col("cell").alias("c2"), "left", "right", "common")
     joined = near.join(ends, (near["host"] == ends["h2"]) & (near["cell"] == ends["c2"]), "left")
-    return joined.select("rid", F.coalesce("before", "left", "after", "right").alias("other"), "common")
+    return joined.select(*pages.columns, F.coalesce("before", "left", "after", "right").alias("other"), "common")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Main text of ``pages(page_id, url, html)``: page_id, url, text (blocks
-    joined by line feeds, empty if none) and n_chars (its code points), a row for
-    each row.
+    joined by line feeds, empty if none), n_chars (its code points), n_shared (lines of
+    the page, boilerplate included, that the alignment with its neighbour takes) and
+    n_removed (lines of the text that go by it), a row for each row.
 
     A null html is an empty page; a null or odd url has an empty host and path
     and its neighbours there.  Pages of a host with the same path are ordered by
-    page_id; among rows that also repeat that, any order may be taken.  A page
-    whose host has fewer than ``SITE_PAGES`` distinct pages loses no line to
-    differences.  Other columns are ignored."""
+    page_id; rows that repeat all three columns share their result.  A page whose
+    host has fewer than ``SITE_PAGES`` distinct pages loses no line to differences.
+    Other columns are ignored.
+
+    The lines travel as hashes; texts are read twice and shuffled once, to meet what
+    the alignment says of them."""
     ship(pages.sparkSession)
     p = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    p = p.withColumn("rid", F.monotonically_increasing_id())
-    parsed = p.mapInPandas(_parse, "rid long, page_id long, url string, text string, lines array<string>, open array<boolean>, hashes array<long>")
-    parsed = staged(parsed, "html-lines")
-    open_ = parsed.where("lines is not null")
+    whole = [x for c in ("page_id", "url", "html") for x in (F.col(c).isNull(), F.col(c))]
+    p = p.withColumn("k1", F.xxhash64(F.lit(1), *whole)).withColumn("k2", F.xxhash64(F.lit(2), *whole))
     host, path = split_url(F.col("url"))
-    other = neighbours(parsed.select("rid", "page_id", host.alias("host"), path.alias("path"), "hashes")) if not open_.isEmpty() else None
-    out = parsed.where("lines is null").select("page_id", "url", "text")
-    if other is not None:
-        out = out.unionByName(open_.join(other, "rid", "left").select("page_id", "url", "lines", "open", "hashes", "other", "common").mapInPandas(_differ, "page_id long, url string, text string"))
-    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    lines = p.withColumn("host", host).withColumn("path", path).select("k1", "k2", "page_id", "host", "path", "html")
+    lines = lines.mapInPandas(_outline, "k1 long, k2 long, page_id long, host string, path string, hashes array<long>, kinds binary, digest long")
+    near = neighbours(lines).select("k1", "k2", "hashes", "kinds", "other", "common")
+    said = near.mapInPandas(_align, "k1 long, k2 long, n_shared long, gone array<int>")
+    said = staged(said, "html-aligned").groupBy("k1", "k2").agg(F.first("n_shared").alias("n_shared"), F.first("gone").alias("gone"))
+    out = p.join(said, ["k1", "k2"], "left").select("page_id", "url", "html", "n_shared", "gone")
+    out = out.mapInPandas(_rebuild, "page_id long, url string, text string, n_shared long, n_removed long")
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared", "n_removed")
