@@ -5,15 +5,18 @@ import math
 import threading
 import urllib.error
 import urllib.request
+from collections import Counter
+from dataclasses import replace
 
 import pytest
 
 from trigrove.config import Config, Field, Source
 from trigrove.operators import terms
 from trigrove.plans import search
-from trigrove.plans.engine import SearchEngine, build, lookup_request, search_request
+from trigrove.plans.engine import SearchEngine, build, lookup_request, path_size, search_request
 from trigrove.plans.search import Collection, Query, Range
 from trigrove.plans.service import server
+from trigrove.sources import tabular
 from trigrove.sources.tabular import read_source
 
 FIELDS = (Field("name", "text", True), Field("org", "keyword"), Field("rev", "number"), Field("flag", "boolean"), Field("note", "text"), Field("city", "enum"))
@@ -165,3 +168,79 @@ def test_terms_are_counted_in_place_as_by_cutting(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(terms, "DIRECT", 0)
             assert sorted(terms.postings(docs, f, {"t": wanted}).collect()) == every
+
+
+def test_a_header_of_many_lines_is_read_whole(spark, tmp_path):
+    (tmp_path / "h.csv").write_text('"a' + "\n" * 500 + 'b",name\n1,x\n')
+    assert tabular.header(spark, str(tmp_path / "h.csv")) == ["a" + "\n" * 500 + "b", "name"]
+    (tmp_path / "one.csv").write_text("\n\nname")
+    assert tabular.header(spark, str(tmp_path / "one.csv")) == ["name"]
+
+
+def test_bytes_that_are_not_utf8_are_an_error(spark, tmp_path):
+    (tmp_path / "bad.csv").write_bytes(b"name\n\xff\xfe\n")
+    with pytest.raises(ValueError, match="not UTF-8"):
+        read_source(spark, Config(FIELDS, (Source(str(tmp_path / "bad.csv"), {"name": "name"}),)), 0)
+    (tmp_path / "fine.csv").write_text("name\n� mark\n")
+    assert read_source(spark, Config(FIELDS, (Source(str(tmp_path / "fine.csv"), {"name": "name"}),)), 0).first().name == "� mark"
+
+
+def test_fuzzy_keywords_count_beside_fuzzy_texts(spark):
+    d = spark.createDataFrame([(1, "hello", "zzz", ""), (2, "other", "hel", ""), (3, "none", None, "")], "_doc_id long, name string, code string, _source string")
+    c = Collection(d, (Field("name", "text", True), Field("code", "keyword", True)))
+    got = {r._doc_id: r._score for r in c.search(Query("hel")).collect()}
+    assert set(got) == {1, 2}
+    assert got[2] == pytest.approx(math.log(1 + 2.5 / 1.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / 2)))
+
+
+def test_a_budget_holds_small_tables_first(spark, config, engine):
+    assert set(engine.held) == {"docs", "postings", "term_stats", "field_stats"}  # no limit: everything
+    at = f"{config.index_path}/{engine.meta['version']}"
+    size = {t: path_size(spark, f"{at}/{t}") for t in ("field_stats", "term_stats")}
+    for budget, held in ((sum(size.values()), {"field_stats", "term_stats"}), (size["field_stats"], {"field_stats"}), (1, set())):
+        some = SearchEngine(spark, replace(config, memory_budget=str(budget)))
+        assert set(some.held) == held
+        assert some.search(Query("coma works"))["results"] == engine.search(Query("coma works"))["results"]
+        for d in some.held.values():
+            d.unpersist()
+
+
+def test_totals_come_with_the_page(engine):
+    assert engine.search(Query("comma", limit=1), pagination=True)["pagination"]["total"] == engine.collection.count(Query("comma"))
+    for none in (Query(filters=(("flag", "perhaps"),)), Query("qqqq"), Query(filters=(("note", "nowhere"),))):
+        got = engine.search(none, pagination=True)
+        assert got["total"] == got["pagination"]["total"] == 0
+    assert engine.search(Query(offset=50), pagination=True)["pagination"]["total"] == 9
+
+
+def test_a_page_reads_only_the_documents_around_it(engine):
+    plan = engine.collection.search(Query("comet", limit=2))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_doc_id" in plan and ">=" in plan and "<=" in plan
+
+
+def test_without_metadata_the_last_version_is_opened(spark, tmp_path):
+    fields = (Field("name", "text", True), Field("kind", "enum"))
+    docs = spark.createDataFrame([(5, "alpha", "A", "s"), (3, "beta", "B", "s")], "_doc_id long, name string, kind string, _source string")
+    config = Config(fields, index_path=str(tmp_path / "index"))
+    with pytest.raises(FileNotFoundError):
+        SearchEngine(spark, config)
+    assert build(spark, config, docs, parts=2).source_seconds.keys() == {"s"}
+    build(spark, config, docs.limit(1), parts=2)
+    build(spark, config, docs, parts=2)
+    assert len([p for p in (tmp_path / "index").iterdir() if p.name.startswith("v-")]) == 2  # this and the one before
+    assert SearchEngine(spark, config).field_values() == {"kind": {"values": ["A", "B"], "truncated": False}}
+    (tmp_path / "index" / "meta.json").unlink()
+    for p in (tmp_path / "index").glob(".meta*"):
+        p.unlink()
+    bare = SearchEngine(spark, config)
+    assert bare.field_values() == {} and bare.search(Query("alpha"))["total"] == 1
+    (tmp_path / "index" / "meta.json").write_text("{")
+    with pytest.raises(json.JSONDecodeError):
+        SearchEngine(spark, config)
+
+
+def test_terms_are_tallied_as_python_counts(spark):
+    texts = ["a b a c a", "", "x", " ".join(f"w{i % 7}" for i in range(500))]
+    d = spark.createDataFrame(list(enumerate(texts)), "_doc_id long, t string")
+    got = {(r._doc_id, r.term): (r.tf, r.dl) for r in terms.postings(d, (Field("t", "text"),)).collect()}
+    assert got == {(i, w): (n, len(t.split())) for i, t in enumerate(texts) for w, n in Counter(t.split()).items()}

@@ -1,4 +1,7 @@
-"""Canonical forms, request parsing, budgets and what people read."""
+"""Canonical forms, request parsing, budgets and what people read.
+
+The budgets, aliases and pagination figures below are fixed values: results that
+clients of such a service rely on."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,4 +114,5 @@ def test_config():
 def test_authorization():
     assert authorized(None, "/search", None, "") and authorized("t", "/health", None, "") and authorized("t", "/", None, "")
     assert authorized("t", "/search", "Bearer t", "") and authorized("t", "/search", None, "q=x&token=t")
+    assert authorized("t", "/search", "Bearer  t ", "") and not authorized("t", "/search", "t", "")
     assert not authorized("t", "/search", "Bearer x", "token=tt") and not authorized("t", "/stats", None, "")

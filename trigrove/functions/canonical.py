@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,13 +85,15 @@ def query_trigrams(q: str) -> Counter:
     return Counter(q[i : i + 3] for i in range(len(q) - 2))
 
 
-def trigrams(text: Column) -> Column:
-    """All trigrams of the lower-cased text, in order.
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: used as an expression within a
+    lambda, it would be computed anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
-    The characters are bound by an outer lambda: used as an expression within the
-    inner one, the text would be split anew for each of them."""
-    bound = F.transform(F.array(F.split(F.lower(text), "")), _triples)
-    return F.when(text.isNotNull(), F.get(bound, F.lit(0)))
+def trigrams(text: Column) -> Column:
+    """All trigrams of the lower-cased text, in order."""
+    return F.when(text.isNotNull(), bound(F.split(F.lower(text), ""), _triples))
 
 
 def _triples(chars: Column) -> Column:

@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Field
-from ..functions.canonical import text_words, trigrams
-
+from ..config import RAW, Field
+from ..functions.canonical import bound, text_words, trigrams
 
 DIRECT = 400  # terms that are counted one by one; with more, texts are cut into all their terms
 
@@ -17,11 +16,12 @@ DIRECT = 400  # terms that are counted one by one; with more, texts are cut into
 def postings(docs: DataFrame, fields: tuple[Field, ...], terms: dict[str, list[str]] | None = None) -> DataFrame:
     """(field, term, _doc_id, tf, dl) of the analyzed fields.
 
-    ``terms`` restricts each field to what a query asks for.  Those are counted in
-    each text where it lies, without cutting it up or shuffling.  dl, the number
-    of terms, is found before the explode: computed beside it, each output row
-    would carry the whole text.  The explodes are outer ones: of an inner one Spark
-    infers a filter on the array's size, pushes it down and makes the array twice."""
+    A document's terms are counted within its row: nothing is shuffled.  ``terms``
+    restricts each field to what a query asks for; those are counted in each text
+    where it lies, without cutting it up.  dl, the number of terms, is found before
+    the explode: computed beside it, each output row would carry the whole text.  The
+    explodes are outer ones: of an inner one Spark infers a filter on the array's
+    size, pushes it down and makes the array twice."""
     spark = docs.sparkSession
     parts = []
     for f in fields:
@@ -34,14 +34,24 @@ def postings(docs: DataFrame, fields: tuple[Field, ...], terms: dict[str, list[s
             continue
         cut = trigrams if f.analyzed == "trigram" else text_words
         t = there.select("_doc_id", cut(F.col(f.name)).alias("g"))
-        t = t.select("_doc_id", F.size("g").alias("dl"), F.col("g") if wanted is None else _only(wanted).alias("g"))
-        t = t.select("_doc_id", "dl", F.explode_outer("g").alias("term")).where("term is not null")
-        parts.append(t.groupBy(F.lit(f.name).alias("field"), "term", "_doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl")))
+        t = t.select("_doc_id", F.size("g").alias("dl"), _tallied(F.col("g") if wanted is None else _only(wanted)).alias("h"))
+        t = t.select("_doc_id", "dl", F.explode_outer("h").alias("h")).where("h is not null")
+        parts.append(t.select(F.lit(f.name).alias("field"), "h.term", "_doc_id", "h.tf", "dl"))
     if not parts:
         return spark.createDataFrame([], "field string, term string, _doc_id long, tf int, dl int")
     return reduce(DataFrame.unionByName, parts)
 
 
+def _tallied(terms: Column) -> Column:
+    """Distinct elements of an array with how often they occur, by sorting it."""
+
+    def tally(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return bound(first, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf"))))
+
+    return F.when(F.size(terms) > 0, bound(F.sort_array(terms), tally))
+
+
 def _only(wanted: list[str]) -> Column:
     return F.filter("g", lambda x: x.isin(wanted))
 
@@ -76,6 +86,26 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def value_stats(docs: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+    """(field, term, df) of the fields whose whole value is a term; booleans as TRUE
+    and FALSE."""
+    raw = [f for f in fields if f.type in RAW]
+    if not raw:
+        return docs.sparkSession.createDataFrame([], "field string, term string, df long")
+    each = F.array(*[F.struct(F.lit(f.name).alias("field"), F.upper(F.col(f.name).cast("string")).alias("term") if f.type == "boolean" else F.col(f.name).alias("term")) for f in raw])
+    return docs.select(F.explode(each).alias("e")).select("e.field", "e.term").where("term is not null").groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def value_lengths(docs: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+    """The same columns as of ``field_stats``, of those fields: a term for each value."""
+    raw = [f.name for f in fields if f.type in RAW]
+    if not raw:
+        return docs.sparkSession.createDataFrame([], "field string, n_docs long, tokens long, avgdl double")
+    counts = F.array(*[F.struct(F.lit(f).alias("field"), F.count(f).alias("tokens")) for f in raw])
+    one = docs.agg(F.count(F.lit(1)).alias("n_docs"), counts.alias("s")).select("n_docs", F.explode("s").alias("s"))
+    return one.select("s.field", "n_docs", "s.tokens", F.when(F.col("n_docs") > 0, F.col("s.tokens") / F.col("n_docs")).otherwise(0.0).alias("avgdl"))
+
+
 def field_stats(docs: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
     """(field, n_docs, tokens, avgdl) of the analyzed fields, over all documents:
     those without the field count with no terms."""

@@ -5,22 +5,24 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import human
 from ..functions.canonical import parse_number
-from ..operators.terms import enum_values, field_stats, postings, term_stats
-from ..sources.tabular import read_sources
+from ..operators.terms import enum_values, field_stats, postings, term_stats, value_lengths, value_stats
+from ..sources.tabular import read_source
 from .search import Collection, Query, Range
 
 MOST = 100_000  # matches that a request may page through, and that a total reports
 LIMIT, MAX_LIMIT = 20, 1000
 PARTS = 64  # files of the postings, by default
+META, TABLES = "meta.json", ("docs", "postings", "term_stats", "field_stats")
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,7 @@ class Imported:
     rows: int
     seconds: float
     per_source: dict[str, int]
+    source_seconds: dict[str, float]
 
 
 def _fs(spark: SparkSession, path: str):
@@ -41,31 +44,82 @@ def path_size(spark: SparkSession, path: str) -> int:
 
 
 def build(spark: SparkSession, config: Config, docs: DataFrame | None = None, parts: int = PARTS, multiline: bool = True) -> Imported:
-    """Builds the whole index anew: documents, postings in order of (field,
-    term), statistics and metadata, under a version of its own.
-
-    Only when all is written does the metadata name that version, and only then
-    do older ones go: a bad boolean or a lost job leaves the old index in place."""
+    """Builds the whole index anew: documents in order of _doc_id, postings in order
+    of (field, term, _doc_id), statistics and metadata, under a version of its own.
+
+    Sources are read one after the other, so that each has its time.  A document's
+    terms are counted in its row, so postings are shuffled once, into ranges that no
+    common term makes one task's.  Only when all is written does the metadata name
+    the version: a bad boolean or a lost job leaves the old index in place.  Of older
+    versions the last stays, for searches that still read it."""
     start, version = time.time(), f"v-{uuid.uuid4().hex[:12]}"
     root, fields = config.index_path.rstrip("/"), config.fields
     at = f"{root}/{version}"
-    (read_sources(spark, config, multiline) if docs is None else docs).write.parquet(f"{at}/docs")
+    took: dict[str, float] = {}
+    for i in range(len(config.sources) if docs is None else 1):
+        since = time.time()
+        part = read_source(spark, config, i, multiline) if docs is None else docs
+        part.sortWithinPartitions("_doc_id").write.mode("append").parquet(f"{at}/docs")
+        name = "" if docs is not None else config.sources[i].path.rsplit("/", 1)[-1]
+        took[name] = took.get(name, 0.0) + time.time() - since
     d = spark.read.parquet(f"{at}/docs")
-    postings(d, fields).repartitionByRange(parts, "field", "term").sortWithinPartitions("field", "term", "_doc_id").write.parquet(f"{at}/postings")
-    p = spark.read.parquet(f"{at}/postings")
-    term_stats(p).repartitionByRange(max(1, parts // 8), "field", "term").sortWithinPartitions("field", "term").write.parquet(f"{at}/term_stats")
-    field_stats(d, fields).coalesce(1).write.parquet(f"{at}/field_stats")
-    enums = {f.name: enum_values(d, f) for f in fields if f.type == "enum"}
-    counts = {r["_source"]: r["count"] for r in d.groupBy("_source").count().collect()}
+
+    def write_postings() -> None:
+        order = ("field", "term", "_doc_id")
+        postings(d, fields).repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(f"{at}/postings")
+        stats = term_stats(spark.read.parquet(f"{at}/postings")).unionByName(value_stats(d, fields))
+        stats.sortWithinPartitions("field", "term").write.parquet(f"{at}/term_stats")
+
+    def write_lengths() -> None:
+        field_stats(d, fields).unionByName(value_lengths(d, fields)).coalesce(1).write.parquet(f"{at}/field_stats")
+
+    def count_rows() -> dict[str, int]:
+        return {r["_source"]: r["count"] for r in d.groupBy("_source").count().collect()}
+
+    with ThreadPoolExecutor(4) as pool:  # jobs that don't wait for each other
+        run = lambda job, *args: pool.submit(inheritable_thread_target(spark)(job), *args)
+        written = [run(write_postings), run(write_lengths)]
+        found = {f.name: run(enum_values, d, f) for f in fields if f.type == "enum"}
+        counted = run(count_rows)
+        for job in written:
+            job.result()
+        enums, counts = {k: job.result() for k, job in found.items()}, counted.result()
     meta = {"version": version, "rows": sum(counts.values()), "per_source": counts, "fields": {k: {"values": v if config.named(k).values is None else [], "truncated": t} for k, (v, t) in enums.items()}}
     fs, top = _fs(spark, root)
-    out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/meta.json"), True)
+    before = _metadata(spark, root).get("version")
+    out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{META}"), True)
     out.write(bytearray(json.dumps(meta, indent=2).encode()))
     out.close()
     for s in fs.listStatus(top):
-        if s.getPath().getName().startswith("v-") and s.getPath().getName() != version:
+        name = s.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
             fs.delete(s.getPath(), True)
-    return Imported(meta["rows"], time.time() - start, counts)
+    return Imported(meta["rows"], time.time() - start, counts, took if docs is None else dict.fromkeys(counts, took[""]))
+
+
+def _metadata(spark: SparkSession, root: str) -> dict:
+    """What the metadata says; of a missing file, nothing."""
+    fs, path = _fs(spark, f"{root}/{META}")
+    return json.loads(spark.read.text(f"{root}/{META}", wholetext=True).first()[0]) if fs.exists(path) else {"fields": {}}
+
+
+def _latest(spark: SparkSession, root: str) -> str:
+    """Without metadata: the version that was completed last."""
+    fs, top = _fs(spark, root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    done = [s for s in (fs.listStatus(top) if fs.exists(top) else []) if s.getPath().getName().startswith("v-") and all(fs.exists(path(f"{root}/{s.getPath().getName()}/{t}/_SUCCESS")) for t in TABLES)]
+    if not done:
+        raise FileNotFoundError(f"no index in {root}")
+    return max(done, key=lambda s: s.getModificationTime()).getPath().getName()
+
+
+def storage_memory(spark: SparkSession) -> int:
+    """Bytes that executors have left to hold tables in."""
+    left = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().values().iterator()
+    total = 0
+    while left.hasNext():
+        total += left.next()._2()
+    return total
 
 
 class SearchEngine:
@@ -73,27 +127,28 @@ class SearchEngine:
 
     def __init__(self, spark: SparkSession, config: Config):
         self.spark, self.config, self.started = spark, config, time.time()
-        self.held: list[DataFrame] = []
+        self.held: dict[str, DataFrame] = {}
         self.refresh()
 
     def refresh(self) -> None:
-        """Opens the version that the metadata names now, and holds it in memory
-        if the budget allows."""
-        for d in self.held:
+        """Opens the version that the metadata names now, or the last one if there is
+        no metadata, and holds it in memory as far as the budget goes: the small
+        tables first, and whole ones only.  No budget is what executors have free."""
+        for d in self.held.values():
             d.unpersist()
         root = self.config.index_path.rstrip("/")
-        fs, path = _fs(self.spark, f"{root}/meta.json")
-        lines = self.spark.read.text(f"{root}/meta.json", wholetext=True).first() if fs.exists(path) else None
-        self.meta = json.loads(lines[0]) if lines else {"fields": {}}
-        at = f"{root}/{self.meta['version']}"
-        read = lambda name: self.spark.read.parquet(f"{at}/{name}")
-        docs, posted, terms, lengths = map(read, ("docs", "postings", "term_stats", "field_stats"))
-        size = path_size(self.spark, at)
-        budget = human.memory_budget(self.config.memory_budget, size)
-        self.held = []
-        if budget is not None and size <= budget:
-            self.held = [d.persist(StorageLevel.MEMORY_AND_DISK) for d in (posted, terms)]
-        self.collection = Collection(docs, self.config.fields, posted, terms, lengths)
+        self.meta = _metadata(self.spark, root)
+        at = f"{root}/{self.meta.get('version') or _latest(self.spark, root)}"
+        tables = {name: self.spark.read.parquet(f"{at}/{name}") for name in TABLES}
+        sizes = {name: path_size(self.spark, f"{at}/{name}") for name in TABLES}
+        budget = human.memory_budget(self.config.memory_budget, sum(sizes.values()))
+        left = storage_memory(self.spark) if budget is None else budget
+        self.held = {}
+        for name in ("field_stats", "term_stats", "postings", "docs"):
+            if sizes[name] <= left:
+                left -= sizes[name]
+                self.held[name] = tables[name] = tables[name].persist(StorageLevel.MEMORY_AND_DISK)
+        self.collection = Collection(tables["docs"], self.config.fields, tables["postings"], tables["term_stats"], tables["field_stats"])
 
     def field_values(self) -> dict[str, dict]:
         """By field what a client may offer: values, and whether there are more."""
@@ -116,8 +171,10 @@ class SearchEngine:
 
     def search(self, q: Query, pagination: bool = False) -> dict:
         start = time.time()
-        results = self._rows(self.collection.search(q), True)
-        total = self.collection.count(q) if pagination else None
+        seen = Observation() if pagination else None  # counts in the pass that ranks
+        results = self._rows(self.collection.search(q, seen), True)
+        # Where a filter can't hold, the plan is empty and nothing was counted.
+        total = (seen.get["n"] if seen._jo.getRow().length() else 0) if pagination else None
         out = {"took_ms": round((time.time() - start) * 1000, 2), "total": len(results), "results": results}
         if total is not None:
             out["pagination"] = pagination_info(total, q.limit, q.offset, len(results))

@@ -10,7 +10,7 @@ import math
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import RAW, Field
@@ -19,6 +19,7 @@ from ..operators.terms import field_stats, postings, term_stats
 
 K1, B = 1.2, 0.75
 LITERALS = 100  # terms of a query whose weights are part of the plan
+RANGES = 32  # of ids, that a page is fetched by
 
 
 @dataclass(frozen=True)
@@ -75,38 +76,33 @@ class Collection:
 
     def rows(self, wanted: dict[str, list[str]]) -> DataFrame:
         """Postings of some terms of each field."""
-        if self.posted is None:
-            return postings(self.docs, self.fields, wanted)
-        hit = reduce(lambda a, b: a | b, ((F.col("field") == f) & F.col("term").isin(ts) for f, ts in wanted.items()))
-        return self.posted.where(hit)
-
-    def frequencies(self, rows: DataFrame, wanted: dict[str, list[str]]) -> dict[tuple[str, str], int]:
-        """Documents that have each term; as many rows as the query has terms."""
-        if self.terms is None:
-            t = term_stats(rows)
-        else:
-            t = self.terms.where(reduce(lambda a, b: a | b, ((F.col("field") == f) & F.col("term").isin(ts) for f, ts in wanted.items())))
-        return {(r.field, r.term): r.df for r in t.collect()}
+        return postings(self.docs, self.fields, wanted) if self.posted is None else self.posted.where(_among(wanted))
+
+    def frequencies(self, rows: DataFrame | None, wanted: dict[str, list[str]], whole: dict[str, list[str]]) -> dict[tuple[str, str], int]:
+        """Documents that have each term (``whole``: that value); as many rows as the
+        query has terms.  Of an index they are looked up."""
+        if self.terms is not None:
+            both = {f: ts for f, ts in (wanted | whole).items() if ts}
+            return {(r.field, r.term): r.df for r in self.terms.where(_among(both)).collect()} if both else {}
+        out = {(r.field, r.term): r.df for r in term_stats(rows).collect()} if wanted else {}
+        if whole:
+            sums = [F.count(F.lit(1)).alias("n")]
+            for i, (name, values) in enumerate(whole.items()):
+                sums.append(F.count(name).alias(f"p{i}"))
+                sums += [F.sum(_equals(self.named(name), v).cast("int")).alias(f"v{i}_{j}") for j, v in enumerate(values)]
+            got = self.docs.agg(*sums).first()
+            self._shares = {name: (got["n"], got[f"p{i}"] / got["n"] if got["n"] else 0.0) for i, name in enumerate(whole)}
+            out |= {(name, v): got[f"v{i}_{j}"] or 0 for i, (name, values) in enumerate(whole.items()) for j, v in enumerate(values)}
+        return out
 
     # Clauses: each gives rows (_doc_id, s) of the documents that it holds for,
     # or a predicate on documents with a constant-time score.
 
-    def _weighted(self, per_clause: list[dict[tuple[str, str], int]]) -> list[DataFrame]:
-        wanted: dict[str, list[str]] = {}
-        for clause in per_clause:
-            for f, t in clause:
-                wanted.setdefault(f, [])
-                if t not in wanted[f]:
-                    wanted[f].append(t)
-        rows = self.rows(wanted)
-        df = self.frequencies(rows, wanted)
-        out = []
-        for clause in per_clause:
-            table = [(f, t, k * idf(self.size, df[f, t]), self.lengths[f][1]) for (f, t), k in clause.items() if (f, t) in df]
-            norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
-            s = F.col("w") * F.lit(K1 + 1) * F.col("tf") / (F.col("tf") + norm)
-            out.append(self._with_weights(rows, table).groupBy("_doc_id").agg(F.sum(s).alias("s")))
-        return out
+    def _summed(self, rows: DataFrame, terms: dict[tuple[str, str], int], df: dict[tuple[str, str], int]) -> DataFrame:
+        table = [(f, t, k * idf(self.size, df[f, t]), self.lengths[f][1]) for (f, t), k in terms.items() if (f, t) in df]
+        norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
+        s = F.col("w") * F.lit(K1 + 1) * F.col("tf") / (F.col("tf") + norm)
+        return self._with_weights(rows, table).groupBy("_doc_id").agg(F.sum(s).alias("s"))
 
     def _with_weights(self, rows: DataFrame, table: list[tuple[str, str, float, float]]) -> DataFrame:
         """Postings with w and avgdl; those of other terms go.  Few terms are
@@ -123,22 +119,12 @@ class Collection:
             mean = F.when(F.col("field") == f, F.lit(own[0][3])).otherwise(mean)
         return rows.withColumns({"w": weight, "avgdl": mean}).where("w is not null")
 
-    def _raw_scores(self, clauses: list[tuple[Field, list[str]]]) -> list[Column]:
-        """Scores of filters on whole values: length 1, mean length the share of
-        documents with a value."""
-        if not clauses:
-            return []
-        sums = [F.count(F.lit(1)).alias("n")]
-        for i, (f, values) in enumerate(clauses):
-            sums.append(F.count(f.name).alias(f"p{i}"))
-            sums += [F.sum(_equals(f, v).cast("int")).alias(f"v{i}_{j}") for j, v in enumerate(values)]
-        got = self.docs.agg(*sums).first()
-        out = []
-        for i, (f, values) in enumerate(clauses):
-            share = got[f"p{i}"] / got["n"] if got["n"] else 0.0
-            tf = (K1 + 1) / (1 + K1 * (1 - B + B / share)) if share else 0.0
-            out.append(reduce(lambda a, b: a + b, (F.when(_equals(f, v), idf(got["n"], got[f"v{i}_{j}"] or 0) * tf).otherwise(0.0) for j, v in enumerate(values))))
-        return out
+    def _value_score(self, f: Field, values: list[str], df: dict[tuple[str, str], int]) -> Column:
+        """Score of whole values: length 1, mean length the share of documents with
+        a value."""
+        n, share = self._shares[f.name] if self.terms is None else self.lengths[f.name]
+        tf = (K1 + 1) / (1 + K1 * (1 - B + B / share)) if share else 0.0
+        return reduce(lambda a, b: a + b, (F.when(_equals(f, v), idf(n, df.get((f.name, v), 0)) * tf).otherwise(0.0) for v in values))
 
     def matched(self, q: Query, columns: tuple[str, ...] = ()) -> DataFrame:
         """(_doc_id, _score, columns) of all documents that a query fits."""
@@ -154,7 +140,7 @@ class Collection:
             if f.analyzed:
                 posted.append({(f.name, v): values.count(v) for v in values})
             else:
-                preds.append(reduce(lambda a, b: a | b, (_equals(f, v) for v in dict.fromkeys(values))))
+                preds.append(_any_of(f, values))
                 raw.append((f, values))
         for r in q.ranges:
             f = self.named(r.field)
@@ -166,50 +152,85 @@ class Collection:
             preds.append(F.col(f.name).between(-top if r.low is None else r.low, top if r.high is None else r.high))
             score.append(F.lit(1.0))
         grams = query_trigrams(q.text)
-        fuzzy = [f for f in self.fields if f.fuzzy]
-        if grams and fuzzy:
-            mine = {(f.name, g): k for f in fuzzy if f.type == "text" for g, k in grams.items()}
-            whole = [f for f in fuzzy if f.type in RAW]
-            if whole and not mine:
-                preds.append(reduce(lambda a, b: a | b, (_equals(f, g) for f in whole for g in grams)))
-                raw += [(f, list(grams.elements())) for f in whole]
-            else:
-                posted.append(mine)
+        fuzzy = [f for f in self.fields if f.fuzzy] if grams else []
+        mine = {(f.name, g): k for f in fuzzy if f.type == "text" for g, k in grams.items()}
+        # A fuzzy field of whole values has a trigram if it is one.
+        whole = [(f, list(grams.elements())) for f in fuzzy if f.type in RAW]
+        wanted: dict[str, list[str]] = {}
+        for f, t in (x for clause in (*posted, mine) for x in clause):
+            if t not in wanted.setdefault(f, []):
+                wanted[f].append(t)
+        asked: dict[str, list[str]] = {}
+        for f, values in (*raw, *whole):
+            asked[f.name] = list(dict.fromkeys([*asked.get(f.name, []), *values]))
+        rows = self.rows(wanted) if wanted else None
+        df = self.frequencies(rows, wanted, asked)
+        score += [self._value_score(f, values, df) for f, values in raw]
+        if whole and not mine:
+            preds.append(reduce(lambda a, b: a | b, (_any_of(f, v) for f, v in whole)))
+            score += [self._value_score(f, v, df) for f, v in whole]
+        clauses = [self._summed(rows, c, df) for c in posted]
+        if mine:
+            found = self._summed(rows, mine, df)
+            if whole:
+                same = reduce(lambda a, b: a | b, (_any_of(f, v) for f, v in whole))
+                also = self.docs.where(F.coalesce(same, F.lit(False))).select("_doc_id", reduce(lambda a, b: a + b, (self._value_score(f, v, df) for f, v in whole)).alias("s"))
+                found = found.unionByName(also).groupBy("_doc_id").agg(F.sum("s").alias("s"))
+            clauses.append(found)
         d = self.docs
         for p in preds:
             d = d.where(F.coalesce(p, F.lit(False)))
-        score += self._raw_scores(raw)
-        browse = not (score or posted)
-        d = d.select("_doc_id", *columns, reduce(lambda a, b: a + b, score, F.lit(1.0 if browse else 0.0)).alias("_score"))
-        for rows in self._weighted(posted) if posted else []:
-            d = d.join(rows, "_doc_id").withColumn("_score", F.col("_score") + F.col("s")).drop("s")
+        if clauses and not (preds or score or columns):  # postings alone tell: no document is read
+            d = clauses.pop(0).withColumnRenamed("s", "_score")
+        else:
+            d = d.select("_doc_id", *columns, reduce(lambda a, b: a + b, score, F.lit(0.0 if score or clauses else 1.0)).alias("_score"))
+        for found in clauses:
+            d = d.join(found, "_doc_id").withColumn("_score", F.col("_score") + F.col("s")).drop("s")
         # Sums are taken in any order; nine decimals make equals equal.
         return d.withColumn("_score", F.round("_score", 9))
 
-    def page(self, q: Query) -> DataFrame:
+    def page(self, q: Query, seen: Observation | None = None) -> DataFrame:
         """(_doc_id, _score, _rank) of a page, in no order of its own; _rank from
         1.  A number sorts the whole result and is the score; any other field sorts
-        only the page that relevance has picked."""
+        only the page that relevance has picked.  ``seen`` counts all that matches
+        (as n) on the way."""
         f = self.named(q.sort_by) if q.sort_by else None
         if f is not None and f.type == "number":
             d = self.matched(q, (f.name,)).select("_doc_id", F.col(f.name).alias("_score"))
             key = F.col("_score").asc() if q.ascending else F.col("_score").desc()
         else:
             d, key = self.matched(q), F.col("_score").desc()
+        if seen is not None:
+            d = d.observe(seen, F.count(F.lit(1)).alias("n"))
         top = d.orderBy(key, "_doc_id").offset(q.offset).limit(q.limit)
         # A page has a thousand rows at most: one task ranks them.
         top = top.withColumn("_rank", F.row_number().over(Window.orderBy(key, "_doc_id")))
         if f is None or f.type in ("number", "boolean"):
             return top
-        value = self.docs.select("_doc_id", F.coalesce(f.name, F.lit("")).alias("v"))
-        top = value.join(F.broadcast(top), "_doc_id")
+        top, docs = self._beside(top)
+        value = docs.select("_doc_id", F.coalesce(f.name, F.lit("")).alias("v"))
+        top = value.join(top, "_doc_id")
         by = F.col("v").asc() if q.ascending else F.col("v").desc()
         return top.select("_doc_id", "_score", F.row_number().over(Window.orderBy(by, "_rank")).alias("_rank"))
 
-    def search(self, q: Query) -> DataFrame:
+    def _beside(self, page: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """A page, a thousand rows at most, to be broadcast, and the documents to
+        join it with: of a stored index, which is in order of _doc_id, only those in
+        some ranges around the page's."""
+        if self.posted is None:
+            return F.broadcast(page), self.docs
+        rows = page.collect()
+        ids = sorted({r._doc_id for r in rows})
+        cuts = sorted(sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: RANGES - 1])
+        spans = [(ids[a], ids[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True)] if ids else []
+        near = reduce(lambda a, b: a | b, (F.col("_doc_id").between(*x) for x in spans), F.lit(False))
+        return F.broadcast(self.spark.createDataFrame(rows, page.schema)), self.docs.where(near)
+
+    def search(self, q: Query, seen: Observation | None = None) -> DataFrame:
         """The documents of a page: _doc_id, the fields as shown, _score, _rank."""
         shown = [shown_value(f, F.col(f.name)).alias(f.name) for f in self.fields]
-        return self.docs.join(F.broadcast(self.page(q)), "_doc_id").select("_doc_id", *shown, "_score", "_rank")
+        page, docs = self._beside(self.page(q, seen))
+        return docs.join(page, "_doc_id").select("_doc_id", *shown, "_score", "_rank")
 
     def count(self, q: Query) -> int:
         return self.matched(q).count()
@@ -222,17 +243,22 @@ class Collection:
         if not usable:
             return self.docs.limit(0).select("_doc_id", *shown)
         d = self.docs
-        text = [{(f.name, v): 1} for f, v in usable if f.analyzed]
         for f, v in usable:
             if not f.analyzed:
                 d = d.where(_equals(f, v))
+        text = [{(f.name, v): 1} for f, v in usable if f.analyzed]
         if not text:  # whole values weigh the same in each match
             return d.orderBy("_doc_id").limit(1).select("_doc_id", *shown)
+        wanted: dict[str, list[str]] = {}
+        for f, v in (x for c in text for x in c):
+            wanted.setdefault(f, []).append(v)
+        rows = self.rows(wanted)
+        df = self.frequencies(rows, wanted, {})
         best = d.select("_doc_id", F.lit(0.0).alias("_score"))
-        for rows in self._weighted(text):
-            best = best.join(rows, "_doc_id").withColumn("_score", F.col("_score") + F.col("s")).drop("s")
-        best = best.orderBy(F.desc(F.round("_score", 9)), "_doc_id").limit(1)
-        return d.join(F.broadcast(best), "_doc_id").select("_doc_id", *shown)
+        for c in text:
+            best = best.join(self._summed(rows, c, df), "_doc_id").withColumn("_score", F.col("_score") + F.col("s")).drop("s")
+        best, docs = self._beside(best.orderBy(F.desc(F.round("_score", 9)), "_doc_id").limit(1))
+        return docs.join(best, "_doc_id").select("_doc_id", *shown)
 
     def search_many(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """Fuzzy searches in one plan (an extension): ``queries(qid, q)`` ->
@@ -243,7 +269,7 @@ class Collection:
         grams = F.filter(F.transform("c", lambda x, i: F.concat(x, F.get(F.col("c"), i + 1), F.get(F.col("c"), i + 2))), lambda g: g.isNotNull())
         asked = low.select("qid", F.explode(grams).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("k"))
         p = postings(self.docs, tuple(fuzzy)) if self.posted is None else self.posted.where(F.col("field").isin([f.name for f in fuzzy]))
-        stats = term_stats(p) if self.terms is None else self.terms
+        stats = term_stats(p) if self.terms is None else self.terms.where(F.col("field").isin([f.name for f in fuzzy]))
         n = self.size
         stats = stats.select("field", "term", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
         mean = F.create_map(*[x for f in fuzzy for x in (F.lit(f.name), F.lit(self.lengths[f.name][1]))])
@@ -254,6 +280,14 @@ class Collection:
         return scored.withColumn("_rank", rank).where(F.col("_rank") <= limit)
 
 
+def _among(wanted: dict[str, list[str]]) -> Column:
+    return reduce(lambda a, b: a | b, ((F.col("field") == f) & F.col("term").isin(ts) for f, ts in wanted.items()))
+
+
+def _any_of(f: Field, values: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (_equals(f, v) for v in dict.fromkeys(values)))
+
+
 def _equals(f: Field, v: str) -> Column:
     if f.type == "number":
         return F.lit(False)

@@ -13,13 +13,16 @@ from ..config import Config
 from .engine import BadRequest, SearchEngine, build, lookup_request, search_request
 
 PAGE = "<!doctype html><title>Search</title><form action=/search><input name=q autofocus><button>Search</button></form><p><a href=/stats>Statistics</a>"
+#: Fixed value: clients read it.
+UNAUTHORIZED = "Provide Authorization: Bearer <token> header or ?token=<token> param"
 _OPEN = ("/", "/health")
 
 
 def authorized(token: str | None, path: str, header: str | None, query: str) -> bool:
     """With a token set, all but the page and /health want it: as a bearer, or as
     the parameter ``token``, compared as it stands in the address."""
-    return not token or path in _OPEN or header == f"Bearer {token}" or f"token={token}" in query.split("&")
+    bearer = (header or "").removeprefix("Bearer ").strip() if (header or "").startswith("Bearer ") else None
+    return not token or path in _OPEN or bearer == token or f"token={token}" in query.split("&")
 
 
 def respond(engine: SearchEngine, path: str, params: dict[str, str]) -> tuple[int, dict | str]:
@@ -44,7 +47,7 @@ def server(engine: SearchEngine, port: int | None = None) -> ThreadingHTTPServer
             if authorized(engine.config.auth_token, at.path, self.headers.get("Authorization"), at.query):
                 status, body = respond(engine, at.path, dict(parse_qsl(at.query, keep_blank_values=True)))
             else:
-                status, body = 401, {"error": "unauthorized"}
+                status, body = 401, {"error": "unauthorized", "message": UNAUTHORIZED}
             raw = (body if isinstance(body, str) else json.dumps(body, sort_keys=True)).encode()
             self.send_response(status)
             self.send_header("Content-Type", "text/html" if body == PAGE else "text/plain" if isinstance(body, str) else "application/json")

@@ -1,9 +1,10 @@
-"""Makes the package importable in the Python workers of any cluster."""
+"""The package on the workers of any cluster, and the folder that they share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,3 +26,25 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, p.relative_to(root.parent).as_posix())
         context.addPyFile(name)
     return spark
+
+
+_local: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` as the cluster names
+    it.  Where it is unset, a local session (tests) takes a folder of its own; on a
+    cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="trigrove-"))
+        named = _local[0]
+    return named.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/trigrove/{name}-{uuid.uuid4().hex}"

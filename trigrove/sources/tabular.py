@@ -12,13 +12,27 @@ from ..config import Config, Field
 from ..functions.canonical import stored_value
 
 BAD = "_ragged"
-HEADER_LINES = 200  # that a header record may span
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """The first record's cells, as they are."""
-    lines = (r.value + "\n" for r in spark.read.text(path).limit(HEADER_LINES).collect())
-    return next((row for row in csv.reader(lines) if row), [])
+    """The first record's cells, as they are, over however many lines it goes: as
+    many are read as close it."""
+    some = 8
+    while True:
+        lines = [r.value + "\n" for r in spark.read.text(path).limit(some).collect()]
+        taken: list[str] = []
+        row = next((r for r in csv.reader(x for x in lines if not taken.append(x)) if r), [])
+        if len(lines) < some or row and len(taken) < len(lines):
+            return row
+        some *= 8
+
+
+def check_utf8(spark: SparkSession, path: str) -> None:
+    """An error if the file has bytes that aren't UTF-8; the CSV reader would put
+    marks in their place.  It costs a scan of the raw lines."""
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
+    if bad:
+        raise ValueError(f"{path}: not UTF-8")
 
 
 def cells(spark: SparkSession, path: str, width: int, multiline: bool) -> DataFrame:
@@ -52,6 +66,7 @@ def read_source(spark: SparkSession, config: Config, ordinal: int, multiline: bo
     that don't have the cell at all; a cell that is there but empty stays empty.
     _doc_id follows the order of sources, then of records."""
     source = config.sources[ordinal]
+    check_utf8(spark, source.path)
     mapping, names = source.resolved(config.mappings), header(spark, source.path)
     raw = cells(spark, source.path, max(1, len(names)), multiline)
     order = F.lit(ordinal << 56) + F.monotonically_increasing_id()
