@@ -32,6 +32,17 @@ def test_held_out_labels_and_other_columns_play_no_part(spark):
     assert (a.words, a.stems, a.xs.tolist(), a.ys.tolist()) == (b.words, b.stems, b.xs.tolist(), b.ys.tolist())
 
 
+def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id % 40 as doc_id", "concat('text ', id % 40) as text")
+    labels = spark.range(40).selectExpr("id as doc_id", "id % 2 as toxic")
+    sizes, real = [], toxicity.staged
+    monkeypatch.setattr(toxicity, "staged", lambda df, name: sizes.append((out := real(df, name)).count()) or out)
+    toxicity.fit(docs, labels, sample=20)
+    assert sizes == [20]
+    one, many = toxicity.fit(docs.dropDuplicates(), labels), toxicity.fit(docs, labels)
+    assert (one.words, one.prior) == (many.words, many.prior)
+
+
 def test_isotonic_rises_and_keeps_the_mean():
     rng = np.random.default_rng(1)
     x = rng.normal(size=300)

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh_path
+
 _made: list = []
 
 
@@ -19,19 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` as the cluster
-    names it.  Only where it is unset (tests) a local folder is taken."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        global _local
-        try:
-            named = _local
-        except NameError:
-            named = _local = "file://" + tempfile.mkdtemp(prefix="trigrove-")
-    return named.rstrip("/")
-
-
 def _drop_staged() -> None:
     for spark, path in _made:
         try:
@@ -48,7 +35,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.
     Staged tables are deleted when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trigrove/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     if not _made:
         atexit.register(_drop_staged)
     _made.append((spark, path))

@@ -2,8 +2,10 @@
 
 The features are densities of lexicons (a given one, and words and word stems
 that the labelled sample shows to be toxic), how near the second person stands
-to them, capitals, punctuation and obfuscation.  Lexicon, trees and calibration
-are fitted on disjoint parts of a bounded sample of labelled rows."""
+to them, capitals, punctuation and obfuscation.  All is fitted on a bounded sample
+of labelled documents: the lexicon on four tenths, the trees on the rest.  The
+calibration is cross-fitted on that rest: each document's score is one of trees that
+were fitted without it; the trees that score are fitted on all of the rest."""
 
 from __future__ import annotations
 
@@ -245,16 +247,19 @@ def _counted(hits: tuple[Counter, Counter]) -> pd.DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most ``sample`` rows of ``labels(doc_id, toxic, ...)``, those
+    """Fits on at most ``sample`` documents of ``labels(doc_id, toxic, ...)``, those
     first by a hash of doc_id; never on rows with crc32(doc_id as text) mod 3 = 1.
-    Rows without a text, id or label don't count; without any left, or with one
-    class only, the model gives everything the share of toxic rows."""
+    Of rows that repeat a doc_id the label is the larger one and the text the first
+    in order, so they are one document.  Rows without a text, id or label don't
+    count; without any left, or with one class only, the model gives everything the
+    share of toxic rows."""
     spark = ship(docs.sparkSession)
     told = labels.select(labels["doc_id"].cast("long").alias("lid"), (labels["toxic"].cast("int") > 0).cast("int").alias("y")).where("lid is not null and y is not null and crc32(cast(cast(lid as string) as binary)) % 3 <> 1")
     told = told.groupBy("lid").agg(F.max("y").alias("y")).orderBy(F.xxhash64("lid"), "lid").limit(sample)
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null and text is not null")
-    # At most ``sample`` pairs of numbers are broadcast.
-    rows = staged(text.join(F.broadcast(told), text["doc_id"] == told["lid"]).select("doc_id", "text", "y").withColumn("part", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(10))), "toxic-sample")
+    # At most ``sample`` pairs of numbers are broadcast, and as many texts stay.
+    rows = text.join(F.broadcast(told), text["doc_id"] == told["lid"]).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = staged(rows.withColumn("part", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(10))), "toxic-sample")
     lexicon = rows.where("part < 4")
     n = {r.y: r.n for r in lexicon.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     found: list[str] = []
@@ -318,7 +323,9 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose text is predicted toxic; same columns."""
+    """``docs`` without the rows whose text is predicted toxic; same columns.  Null
+    and empty texts have the score of their (zero) features; repeated rows share
+    their fate; an empty table stays empty."""
     sent = ship(docs.sparkSession).sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
