@@ -1,9 +1,12 @@
 import random
+import time
 from collections import Counter
-from math import isclose
+from fractions import Fraction
+from math import ceil, isclose, isqrt
 
 import pytest
 from fixtures import edge_docs
+from pyspark.sql import functions as F
 
 from trigrove.llm import mixing
 
@@ -50,6 +53,58 @@ def test_mix_gives_each_row_one_place_and_rows_of_a_slot_together(spark, monkeyp
         assert abs(sum(r.source == "a" for r in a[:n]) / 8 - n / 8 / 2) < 1 + 1e-9
 
 
+def by_definition(rows, weights, block):
+    """rows (doc_id, source, hash): doc_id -> (block, slot, position, phase), slot by slot."""
+    names = sorted({s for _, s, _ in rows})
+    queues = {}
+    for s in names:
+        mine = [(h, i) for i, x, h in rows if x == s]
+        cells = ceil(len(mine) / max(1024, isqrt(len(mine))))
+        mine.sort(key=lambda x: (int((x[0] % 2**64 >> 1) / 2**63 * cells), x))
+        ids = [i for _, i in mine]
+        queues[s] = [ids[k : k + block] for k in range(0, len(ids), block)]
+    used, out, slot, position, phase = Counter(), {}, 0, 0, 0
+    while any(used[s] < len(queues[s]) for s in names):
+        live = [s for s in names if used[s] < len(queues[s])]
+        q, taken, t, ended = sum(weights[s] for s in live), Counter(), 0, False
+        while not ended:
+            ready = []
+            for n, s in enumerate(live):
+                k, a = taken[s], weights[s]
+                if Fraction(k * q, a) // 1 <= t:
+                    ready.append((ceil(Fraction((k + 1) * q, a)), -(Fraction(k * q, a) // 1), n, s))
+            s = min(ready)[3]
+            for i in queues[s][used[s]]:
+                out[i] = (used[s], slot, position, phase)
+                position += 1
+            taken[s] += 1
+            used[s] += 1
+            t, slot, ended = t + 1, slot + 1, used[s] == len(queues[s])
+        phase += 1
+    return out
+
+
+def test_a_whole_mix_is_as_by_the_definition(spark):
+    rng = random.Random(4)
+    for weights, block in (({"a": 2, "b": 1, "c": 1}, 8), ({"a": 30, "b": 20, "c": 50}, 7), ({"a": 1, "b": 9, "c": 4}, 64)):
+        docs = spark.createDataFrame([(i, rng.choice("aabbbc")) for i in range(700)], "doc_id long, source string")
+        hashed = docs.withColumn("h", F.xxhash64(F.lit(7), F.col("doc_id").cast("string"))).collect()
+        want = by_definition([(r.doc_id, r.source, r.h) for r in hashed], weights, block)
+        got = {r.doc_id: (r.mix_block, r.mix_slot, r.mix_position, r.mix_phase) for r in mixing.mix(docs, weights, block).collect()}
+        assert got == want
+
+
+def test_large_weights_are_reduced_or_refused(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(1000)], "doc_id long, source string")
+    same = mixing.mix(docs, {"a": 3_000_000, "b": 1_000_000}).collect()
+    assert sorted(same) == sorted(mixing.mix(docs, {"a": 3, "b": 1}).collect())
+    with pytest.raises(ValueError, match="round"):
+        mixing.mix(docs, {"a": 1_000_003, "b": 1})
+    start = time.perf_counter()
+    assert len(mixing.plan([16, 10**9], [999_999, 1])) == 2 and time.perf_counter() - start < 1
+    assert max(mixing.shares_by_size([1, 10**14], 0.5)) <= mixing.LONGEST // 2
+
+
 def test_default_shares_follow_sizes():
     share = mixing.shares_by_size([100, 10_000], 0.5)
     assert isclose(share[1] / share[0], 10, rel_tol=0.02)

@@ -12,13 +12,15 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from math import ceil, isqrt
+from math import ceil, gcd, isqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIOD = 1024  # slots of a period, about, where shares come from sizes; more if a source would have fewer than LEAST
 LEAST = 8  # slots of the smallest source, so that rounding is at most 1 in 16 of a share
+LONGEST = 1_000_000  # slots of a period at most: a given set of weights beyond it (reduced) is refused, default shares are rounded to it
+PLACES = 10_000_000  # of all phases' periods, that the plan holds at most; sources beyond that are refused
 CELLS = 200_000  # cells whose first ranks are broadcast (some 10 MB); with more, rows are shuffled to them
 
 
@@ -47,11 +49,17 @@ def period(shares: list[int], left: list[int] | None = None) -> list[int]:
 def plan(blocks: list[int], shares: list[int]) -> list[tuple[int, int, int, int, list[list[int]], int]]:
     """Phases of a mix: (first slot, slots, period, phase number, places of each
     source in the period, and by source the blocks used before).  A phase ends
-    with the last block of the first source to run out."""
-    left, used, start, phases = list(blocks), [0] * len(blocks), 0, []
+    with the last block of the first source to run out, so that the block that may
+    be short is its last slot."""
+    left, used, start, phases, held = list(blocks), [0] * len(blocks), 0, [], 0
     while any(left):
         live = [a if n else 0 for a, n in zip(shares, left, strict=True)]
+        part = gcd(*live)
+        live = [a // part for a in live]
         slots, q = period(live, left), sum(live)
+        held += len(slots)
+        if held > PLACES:
+            raise ValueError("too many sources for one mix: put small ones together")
         places: list[list[int]] = [[] for _ in blocks]
         for t, i in enumerate(slots):
             places[i].append(t)
@@ -69,11 +77,12 @@ def plan(blocks: list[int], shares: list[int]) -> list[tuple[int, int, int, int,
 
 def shares_by_size(sizes: list[int], temperature: float, slots: int = PERIOD) -> list[int]:
     """Whole shares in proportion to size ** temperature: of ``slots``, or of as many
-    more as give the smallest source ``LEAST``."""
+    more as give the smallest source ``LEAST``, but of half ``LONGEST`` at most; a
+    source has 1 at least."""
     w = [max(n, 1) ** temperature for n in sizes]
     total = sum(w)
-    slots = max(slots, LEAST * total / min(w))
-    return [round(slots * x / total) for x in w]
+    slots = min(max(slots, LEAST * total / min(w)), LONGEST // 2)
+    return [max(1, round(slots * x / total)) for x in w]
 
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = 64, temperature: float = 0.5, seed: int = 7) -> DataFrame:
@@ -83,7 +92,8 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = 64,
     mix_position (of the row, from 0 without gaps), mix_phase.  ``weights`` are
     whole shares by source, 1 for sources that it doesn't name; without it shares
     follow the sources' row counts ** ``temperature``.  The rows of a slot follow
-    each other.
+    each other.  Shares that, reduced, add up to more than ``LONGEST`` are an error
+    at any size of the table.
 
     A null source is a source of its own.  Nothing is dropped or repeated: rows
     that repeat others have places of their own, interchangeable among equals.
@@ -122,27 +132,27 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = 64,
     share = shares_by_size([sizes[s] for s in names], temperature) if weights is None else [int(weights.get(s, 1)) for s in names]
     if min(share) < 1:
         raise ValueError("a share must be 1 at least; leave sources out before mixing")
+    if sum(share) // gcd(*share) > LONGEST:
+        raise ValueError(f"the shares add up to more than {LONGEST}; round them")
     blocks = [-(-sizes[s] // block) for s in names]
     phases = plan(blocks, share)
-    rows, short = [], []
+    rows, gap = [], 0  # gap: rows by which the last blocks of former phases are short
     for start, size, q, number, places, used in phases:
+        lost = 0
         for i, p in enumerate(places):
             if p:
                 took = (size // q) * len(p) + bisect_left(p, size % q)
-                rows.append((names[i], number, used[i], used[i] + took, start, q, p))
-                end = used[i] + took
-                if end == blocks[i] and sizes[names[i]] % block:
-                    k = took - 1
-                    short.append((start + (k // len(p)) * q + p[k % len(p)], block - sizes[names[i]] % block))
-    short.sort()
-    # A row for each source and phase, with the places in a period: bounded by the weights, whatever the corpus.
-    table = spark.createDataFrame(rows, "s string, mix_phase int, lo long, hi long, start long, q long, places array<int>")
+                rows.append((names[i], number, used[i], used[i] + took, start, q, gap, p))
+                if used[i] + took == blocks[i]:
+                    lost += blocks[i] * block - sizes[names[i]]
+        gap += lost
+    # A row for each source and phase, with the places in a period: bounded by ``PLACES``.
+    table = spark.createDataFrame(rows, "s string, mix_phase int, lo long, hi long, start long, q long, gap long, places array<int>")
     on = d["__s"].eqNullSafe(table["s"]) & (d["mix_block"] >= table["lo"]) & (d["mix_block"] < table["hi"])
     d = d.join(F.broadcast(table), on)
     k = F.col("mix_block") - F.col("lo")
     a = F.size("places")
     slot = F.col("start") + F.floor(k / a) * F.col("q") + F.element_at("places", (k % a + 1).cast("int"))
     d = d.withColumn("mix_slot", slot.cast("long"))
-    gap = sum((F.when(F.col("mix_slot") > s, F.lit(n)).otherwise(F.lit(0)) for s, n in short), F.lit(0))
-    d = d.withColumn("mix_position", (F.col("mix_slot") * block + F.col("__in") - gap).cast("long"))
+    d = d.withColumn("mix_position", (F.col("mix_slot") * block + F.col("__in") - F.col("gap")).cast("long"))
     return d.select("row.*", "mix_block", "mix_slot", "mix_position", "mix_phase")
