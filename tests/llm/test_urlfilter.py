@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from fixtures import edge_pages
 
 from trigrove.llm import urlfilter
@@ -44,6 +45,44 @@ def test_only_candidates_of_the_rarest_token_are_run(spark):
     assert filed == {"a-b": "b", "c-a": "c", "any": None}
 
 
+def test_rules_of_a_block_list(spark, monkeypatch):
+    rules = urlfilter.load("""
+! a comment
+||ads.example.com^
+/banner/*/big^
+|http://exact.org/path|
+@@||good.ads.example.com/fine
+/track[0-9]+\\.gif$/
+||ü.org/x
+""".replace("\\\\", "\\"))
+    tokens = {r.name: r.tokens for r in rules}
+    assert tokens["||ads.example.com^"] == ("ads", "example", "com") and tokens["/banner/*/big^"] == ("banner", "big")
+    assert tokens["|http://exact.org/path|"] == ("exact", "org", "path") and tokens["/track[0-9]+\\.gif$/".replace("\\\\", "\\")] == ()
+    assert tokens["||ü.org/x"] == ("ü", "org")  # the last may go on
+    want = {
+        "http://ads.example.com": "block", "http://x.ADS.example.com/a": "block", "http://bads.example.com/": "allow", "http://ads.example.com.evil/": "allow", "http://ads.example.comü/": "allow",
+        "http://h/Banner/1/2/BIG?x": "block", "http://h/banner/big": "allow", "http://h/banner/1/bigger": "allow", "https://exact.org/path": "block", "https://exact.org/path/": "allow", "https://a.exact.org/path": "allow",
+        "http://good.ads.example.com/fine/1": "allow", "http://good.ads.example.com/other": "block", "http://h/track12.gif": "block", "http://h/track.gif": "allow", "http://a.ü.org/xyz": "block",
+    }
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    for most in (2000, 0):
+        monkeypatch.setattr(urlfilter, "INDEX_RULES", most)
+        got = {r.page_id: r.verdict for r in urlfilter.judge(pages, (), rules).collect()}
+        assert {u: got[i] for i, u in enumerate(want)} == want
+    for bad in ("||x.com^$script", "||", "**"):
+        with pytest.raises(ValueError):
+            urlfilter.pattern_rule(bad)
+
+
+def test_words_are_whole_whatever_letters_are_next_to_them(spark):
+    urls = ["http://casino.de/", "http://ücasino.de/", "http://casinoü.de/", "http://my-casino-win.de", "http://x.de/casino"]
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [r.pattern for r in got] == ["casino", None, None, "casino-win", None]
+
+
 def test_edges(spark):
+    by = {r.page_id: r for r in urlfilter.judge(edge_pages(spark)).collect()}
+    assert (by[1].host, by[1].path, by[1].rule, by[1].verdict) == ("", "", None, "allow") == (by[4].host, by[4].path, by[4].rule, by[4].verdict)
+    assert (by[3].host, by[3].path, by[3].rule, by[3].verdict) == ("example.org", "/en/12", "example.org/en/1", "block") and by[None].rule == "com/fr/"
     assert urlfilter.judge(edge_pages(spark)).count() == 7
     assert urlfilter.judge(edge_pages(spark, empty=True)).count() == 0

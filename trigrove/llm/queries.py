@@ -11,43 +11,55 @@ from .common import table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a test item that it holds (``decontaminate.contaminated``
+    says what nulls, ties, repeated rows and empty tables give, as the operators named
+    below do)."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place in the mix of its sources (``mixing.mix``)."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text stored as JPEG and read back (``media.features``)."""
     return media.features(table(spark, sf_dir, "documents"))
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page (``html.main_text``)."""
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of near copies (``neardup.near_duplicates``)."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on each page's url (``urlfilter.judge``)."""
     return urlfilter.judge(table(spark, sf_dir, "pages")).drop("pattern")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and tokens of each document (``tokens.counts``)."""
     return tokens.counts(table(spark, sf_dir, "documents"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases of each document (``licenses.scan``)."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of each document (``toxicity.fit``, ``toxicity.scored``)."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back (``warc.write``, ``warc.records``)."""
     return warc.records(warc.write(table(spark, sf_dir, "pages"))).drop("url")
 
 
@@ -74,17 +86,22 @@ from n left join r on n.h = r.h left join m on m.x = r.rid"""
 _UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+#: The rules as (host, path, action), longest first.
+_URL_RULES = (("example.org", "/en/1", "block"), ("example.org", "/es/", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("org", "/", "allow"))
+
+
 def _url_sql() -> str:
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    fit = lambda r: f"(regexp_matches(host || path, {q(r.regex)}))"
-    base = sorted(urlfilter.BASE, key=lambda r: (-r.size, r.name))
-    other = sorted(urlfilter.PATTERNS, key=lambda r: (-r.size, r.name))
-    case = lambda rs, what, end: "case " + " ".join(f"when {fit(r)} then {q(what(r))}" for r in rs) + f" else {end} end"
-    verdict = case(base, lambda r: r.action, case(other, lambda r: r.action, "'allow'"))
+    """Hosts and words by plain string functions; no rule of the engine is used."""
+    at = lambda h: f"(host = '{h}' or ends_with(host, '.{h}'))"
+    case = lambda what, end: "case " + " ".join(f"when {at(h)} and starts_with(path, '{p}') then '{what(h, p, a)}'" for h, p, a in _URL_RULES) + f" else {end} end"
+    has = " or ".join(f"contains(words, ' {' '.join(w)} ')" for w in urlfilter.WORDS)
+    listed = f"{at('doubleclick.net')} or {at('googlesyndication.com')} or ends_with(lower(path), '/wp-login.php') or ends_with(lower(path), '/xmlrpc.php')"
+    verdict = case(lambda h, p, a: a, f"case when {has} or {listed} then 'block' else 'allow' end")
     return f"""
 with u as (select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages),
-h as (select page_id, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), {_UP}), '') as host, coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') as path from u)
-select page_id, host, path, {case(base, lambda r: r.name, 'null')} as rule, {verdict} as verdict from h"""
+h as (select page_id, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), {_UP}), '') as host, coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') as path from u),
+w as (select *, ' ' || regexp_replace(host, '[^a-z0-9\\x{{80}}-\\x{{10ffff}}]', ' ', 'g') || ' ' as words from h)
+select page_id, host, path, {case(lambda h, p, a: h + p, "null")} as rule, {verdict} as verdict from w"""
 
 
 _WARC = """

@@ -1,18 +1,20 @@
 """URL filters: pattern rules behind an index of their rarest literal tokens.
 
-A rule is a regular expression over host + path.  Each rule is filed under that
-of its literal tokens which is rarest among the URLs of the table; a URL's tokens
-fetch the rules filed under them, and only those are run.  DataFrame functions
-only."""
+A rule is a regular expression over host + path, made of a host and path, of words or
+of a line in the usual syntax of block lists (see ``pattern_rule``).  Each rule is
+filed under that of its literal tokens which is rarest among the URLs of the table; a
+URL's tokens fetch the rules filed under them, and only those are run.  DataFrame
+functions only."""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_BEYOND = r"\x{80}-\x{10ffff}"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 INDEX_RULES = 2000  # rules that are held in the plan; more are joined as a table
 
@@ -44,7 +46,43 @@ def host_rule(host: str, path: str, action: str, rank: int = 1) -> Rule:
 def word_rule(*words: str) -> Rule:
     """Blocks hosts that have these words next to each other."""
     name = "-".join(words)
-    return Rule(name, "block", r"(?s)^(?:[^/]*[^a-z0-9/])?" + "[^a-z0-9/]".join(map(_quote, words)) + r"(?:[^a-z0-9].*)?$", tuple(words), 0)
+    return Rule(name, "block", rf"(?s)^(?:[^/]*[^a-z0-9/{_BEYOND}])?" + f"[^a-z0-9/{_BEYOND}]".join(map(_quote, words)) + rf"(?:[^a-z0-9{_BEYOND}].*)?$", tuple(words), -1)
+
+
+def pattern_rule(line: str) -> Rule:
+    """A rule of a block list.  ``||`` at its start stands for a host or its
+    subdomains, ``|`` at its start or end for that of the URL (without scheme and
+    query), ``*`` for anything, ``^`` for a character that no word has, or the end; all
+    else for itself, whatever the case of A-Z.  ``@@`` before it makes an exception,
+    which outranks blocks.  A line within slashes is a regular expression, which has no
+    literal tokens.  Options (``$``) are an error."""
+    text, action = (line.strip().removeprefix("@@"), "allow") if line.strip().startswith("@@") else (line.strip(), "block")
+    rank = 0 if action == "allow" else -1
+    if len(text) > 2 and text.startswith("/") and text.endswith("/") and re.search(r"[\\^$*+?()\[{|]", text):
+        return Rule(line.strip(), action, text[1:-1], (), rank)
+    if "$" in text:
+        raise ValueError(f"options aren't supported: {line}")
+    start, end = "", ""
+    if text.startswith("||"):
+        start, text = r"^(?:[^/]*\.)?", text[2:]
+    elif text.startswith("|"):
+        start, text = "^", re.sub(r"(?i)^[a-z][a-z0-9+.-]*://", "", text[1:])
+    if text.endswith("|"):
+        end, text = "$", text[:-1]
+    if not text.strip("*^"):
+        raise ValueError(f"no pattern: {line}")
+    edge = f"(?:[^a-zA-Z0-9_.%{_BEYOND}-]|$)"
+    regex = "(?is)" + start + "".join(".*" if c == "*" else edge if c == "^" else _quote(c) for c in text) + end
+    # A run of word characters is a whole token if what is next to it can't be one's.
+    framed = ("^" if start else "*") + _lower(text) + ("^" if end else "*")
+    tokens = re.findall(r"(?<=[^a-z0-9\u0080-\U0010ffff*])[a-z0-9\u0080-\U0010ffff]+(?=[^a-z0-9\u0080-\U0010ffff*])", framed)
+    return Rule(line.strip(), action, regex, tuple(tokens), rank)
+
+
+def load(text: str) -> tuple[Rule, ...]:
+    """Rules of a block list: a pattern a line; blank lines and those that start with
+    ! or # don't count."""
+    return tuple(pattern_rule(x) for x in text.splitlines() if x.strip() and x.lstrip()[0] not in "!#")
 
 
 def _quote(s: str) -> str:
@@ -62,11 +100,18 @@ BASE = (
     host_rule("com", "/fr/", "allow"),
     host_rule("com", "/de/", "block"),
 )
-#: Kinds of host that are of no use as text.
-PATTERNS = tuple(
-    word_rule(*w.split())
+#: Kinds of host, and addresses, that are of no use as text.
+WORDS = tuple(
+    tuple(w.split())
     for w in ("casino", "casino win", "free bets", "bets", "poker", "pills", "cheap pills", "viagra", "spam", "spam farm", "link farm", "ads", "ads track", "adserver", "tracker", "porn", "xxx", "escorts", "warez", "torrent")
 )
+LIST = """
+||doubleclick.net^
+||googlesyndication.com^
+/wp-login.php|
+/xmlrpc.php|
+"""
+PATTERNS = (*(word_rule(*w) for w in WORDS), *load(LIST))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -121,8 +166,7 @@ def judge(pages: DataFrame, base: tuple[Rule, ...] = BASE, patterns: tuple[Rule,
     host, path = split_url(F.col("url"))
     p = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"))
     p = p.select("page_id", host.alias("host"), path.alias("path")).withColumn("target", F.concat("host", "path"))
-    rules = [*base, *(r if r.rank <= 0 else Rule(r.name, r.action, r.regex, r.tokens, 0) for r in patterns)]
-    rules = [Rule(r.name, r.action, r.regex, r.tokens, 1 if i < len(base) else 0) for i, r in enumerate(rules)]
+    rules = [*(replace(r, rank=1) for r in base), *(replace(r, rank=min(r.rank, 0)) for r in patterns)]
     filed = _filed(p, rules)
     if len(rules) <= INDEX_RULES:
         found = _inline(filed)
@@ -130,7 +174,7 @@ def judge(pages: DataFrame, base: tuple[Rule, ...] = BASE, patterns: tuple[Rule,
     else:
         judged = _joined(p, filed)
     own = _best(F.filter("found", lambda x: x["rank"] == 1))
-    other = _best(F.filter("found", lambda x: x["rank"] == 0))
+    other = _best(F.filter("found", lambda x: x["rank"] < 1))
     judged = judged.select("page_id", "host", "path", own.alias("own"), other.alias("other"))
     return judged.select("page_id", "host", "path", F.col("own.name").alias("rule"), F.coalesce("own.action", "other.action", F.lit("allow")).alias("verdict"), F.col("other.name").alias("pattern"))
 
