@@ -287,9 +287,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     host, path = split_url(F.col("url"))
     lines = p.withColumn("host", host).withColumn("path", path).select("k1", "k2", "page_id", "host", "path", "html")
     lines = lines.mapInPandas(_outline, "k1 long, k2 long, page_id long, host string, path string, hashes array<long>, kinds binary, digest long")
-    near = neighbours(lines).select("k1", "k2", "hashes", "kinds", "other", "common")
+    # Written first: dealing into ranges reads its input twice.
+    near = neighbours(staged(lines, "html-lines")).select("k1", "k2", "hashes", "kinds", "other", "common")
     said = near.mapInPandas(_align, "k1 long, k2 long, n_shared long, gone array<int>")
-    said = staged(said, "html-aligned").groupBy("k1", "k2").agg(F.first("n_shared").alias("n_shared"), F.first("gone").alias("gone"))
-    out = p.join(said, ["k1", "k2"], "left").select("page_id", "url", "html", "n_shared", "gone")
+    said = said.groupBy("k1", "k2").agg(F.first("n_shared").alias("n_shared"), F.first("gone").alias("gone"))
+    # Never a broadcast: what is said grows with the pages.
+    out = p.join(said.hint("merge"), ["k1", "k2"], "left").select("page_id", "url", "html", "n_shared", "gone")
     out = out.mapInPandas(_rebuild, "page_id long, url string, text string, n_shared long, n_removed long")
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared", "n_removed")
