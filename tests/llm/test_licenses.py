@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from fixtures import edge_docs
 
 from trigrove.llm import licenses
@@ -40,6 +41,29 @@ def test_templates_need_their_key_phrase_and_enough_else(spark):
     assert got[5][0] == "mit" and 0.5 < got[5][1] < 1 and got[6] == ("", 0.0)
 
 
+def test_templates_of_a_text_and_every_place_of_them(spark):
+    """Against every template at every place."""
+    made = licenses.load("# label | before | key | after\n\none | a b | c d c | e\ntwo | | d c |\nthree | | b | a a a")
+    assert [(t.label, t.words, t.start, t.end) for t in made] == [("one", tuple("abcdce"), 2, 5), ("two", ("d", "c"), 0, 2), ("three", tuple("baaa"), 0, 1)]
+    for bad in ("label", "| | x |", "label | x | | y"):
+        with pytest.raises(ValueError):
+            licenses.load(bad)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(30)))) for i in range(200)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), made[1:2], made).collect()}
+    for i, text in rows:
+        w = text.split()
+        found = []
+        for t in (made[1], *made):
+            for o in range(-len(t.words), len(w)):
+                same = [0 <= o + k < len(w) and w[o + k] == x for k, x in enumerate(t.words)]
+                if all(same[t.start : t.end]) and sum(same) / len(same) >= t.least:
+                    found.append((t.label, sum(same) / len(same)))
+        assert got[i].labels == ",".join(sorted({x for x, _ in found})) and got[i].score == max((x for _, x in found), default=0)
+        assert got[i].n_base == sum(w[k : k + 2] == ["d", "c"] for k in range(len(w)))
+    assert {(r.n_base, r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), (), ()).collect()} == {(0, "", 0.0)}
+
+
 def test_edges(spark):
     got = licenses.scan(edge_docs(spark)).collect()
     assert len(got) == 11
