@@ -1,17 +1,24 @@
 """Baseline JPEG as a media column.
 
-``decode`` parses the markers of a baseline (Huffman, 8-bit, sequential) JPEG,
-decodes its scan and rebuilds the thumbnail that the DC coefficients of the
-luminance give: one sample for each 8 x 8 block.  ``encode`` stores bytes as
-such samples.  With a DC quantiser of 8 a flat block's coefficient is its sample
-less 128, so nothing is lost."""
+``decode`` parses the markers of a baseline (Huffman, 8-bit, sequential) JPEG, decodes
+its scans, interleaved or not, and rebuilds the thumbnail that the DC coefficients of
+the luminance give: one sample for each 8 x 8 block.  ``encode`` stores bytes as such
+samples, with the usual Huffman tables of luminance.  With a DC quantiser of 8 a flat
+block's coefficient is its sample less 128, so nothing is lost.
+
+Decoding is by tables over the next 16 bits, for all bit positions of a piece of the
+scan at once: numpy says how far a code that starts there goes, and only the walk from
+block to block is a loop."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,40 +28,60 @@ from ..session import ship
 from .common import plain
 
 WIDE = 64  # samples of a row of the thumbnail
-MOST = WIDE * 8191  # samples of one image: its height has 16 bits
-
-# Codes of DC differences: category c has 12 - c bits and c bits follow, so that
-# each difference takes 12 bits; the only AC code, end of block, has 4.
-_DC_COUNTS = [0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0]
-_DC_VALUES = [8, 7, 6, 5, 4, 3, 2, 1, 0]
-_AC_COUNTS = [0, 0, 0, 1] + [0] * 12
-_AC_VALUES = [0]
-
-
-def huffman(counts: list[int], values: list[int]) -> dict[tuple[int, int], int]:
-    """(length, code) -> value, canonical."""
+MOST = WIDE * 1024  # samples of one image
+PIECE = 1 << 16  # bytes of a scan that are looked up at once
+REACH = 512  # bytes that one block may go on
+
+# The usual tables of luminance, codes by length and their values.
+_DC_COUNTS = bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0])
+_DC_VALUES = bytes(range(12))
+_AC_COUNTS = bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125])
+_AC_VALUES = bytes.fromhex(
+    "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a"
+    + "434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aa"
+    + "b2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+)
+
+
+def huffman(counts: bytes, values: bytes) -> dict[int, tuple[int, int]]:
+    """value -> (length, code), canonical."""
     out, code, k = {}, 0, 0
     for length, n in enumerate(counts, 1):
         for _ in range(n):
-            out[length, code] = values[k]
+            out[values[k]] = length, code
             code, k = code + 1, k + 1
         code <<= 1
     return out
 
 
-def _codes() -> np.ndarray:
-    """For a difference + 255 the 16 bits of its block."""
-    of = {v: (n, c) for (n, c), v in huffman(_DC_COUNTS, _DC_VALUES).items()}
-    end = next(c for (_, c) in huffman(_AC_COUNTS, _AC_VALUES))
-    out = np.zeros(511, np.uint16)
+def _codes() -> tuple[np.ndarray, np.ndarray]:
+    """For a difference + 255 the bits of its block, end of block included, and how
+    many they are."""
+    of, (end_size, end) = huffman(_DC_COUNTS, _DC_VALUES), huffman(_AC_COUNTS, _AC_VALUES)[0]
+    bits, size = np.zeros(511, np.uint64), np.zeros(511, np.int64)
     for d in range(-255, 256):
         c = abs(d).bit_length()
-        _, code = of[c]
-        out[d + 255] = ((code << c | (d if d >= 0 else d + (1 << c) - 1)) << 4) | end
-    return out
+        n, code = of[c]
+        bits[d + 255] = ((code << c | (d if d >= 0 else d + (1 << c) - 1)) << end_size) | end
+        size[d + 255] = n + c + end_size
+    return bits, size
 
 
-_ENCODE = _codes()
+_BITS, _SIZE = _codes()
+
+
+def _packed(bits: np.ndarray, size: np.ndarray) -> bytes:
+    """Codes one after another, filled up with ones.  Codes don't overlap, so adding
+    what each puts into a word of 32 bits puts them together."""
+    ends = np.cumsum(size)
+    start = ends - size
+    word = start >> 5
+    v = bits << (64 - size - (start & 31)).astype(np.uint64)
+    many = int(ends[-1] >> 5) + 2
+    whole = np.bincount(word, (v >> np.uint64(32)).astype(np.float64), many) + np.bincount(word + 1, (v & np.uint64(0xFFFFFFFF)).astype(np.float64), many)
+    raw = bytearray(whole.astype(np.uint32).astype(">u4").tobytes()[: -(-int(ends[-1]) // 8)])
+    raw[-1] |= (1 << (-int(ends[-1]) % 8)) - 1
+    return bytes(raw)
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -62,7 +89,7 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 
 _QUANT = _segment(0xDB, b"\0" + bytes([8] + [1] * 63))
-_TABLES = _segment(0xC4, b"\x00" + bytes(_DC_COUNTS) + bytes(_DC_VALUES)) + _segment(0xC4, b"\x10" + bytes(_AC_COUNTS) + bytes(_AC_VALUES))
+_TABLES = _segment(0xC4, b"\x00" + _DC_COUNTS + _DC_VALUES + b"\x10" + _AC_COUNTS + _AC_VALUES)
 _SCAN = _segment(0xDA, bytes([1, 1, 0x00, 0, 63, 0]))
 _JFIF = _segment(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0")
 
@@ -76,7 +103,7 @@ def encode(samples: bytes) -> bytes:
     for at in range(0, len(samples), MOST):
         v = np.frombuffer(samples, np.uint8, min(MOST, len(samples) - at), at).astype(np.int16)
         d = np.diff(v, prepend=np.int16(128)) + 255
-        scan = _ENCODE[d].astype(">u2").tobytes().replace(b"\xff", b"\xff\0")
+        scan = _packed(_BITS[d], _SIZE[d]).replace(b"\xff", b"\xff\0")
         frame = _segment(0xC0, struct.pack(">BHHBBBB", 8, len(v) // WIDE * 8, WIDE * 8, 1, 1, 0x11, 0))
         out += [b"\xff\xd8", _JFIF, _QUANT, frame, _TABLES, _SCAN, scan, b"\xff\xd9"]
     return b"".join(out)
@@ -86,100 +113,169 @@ class Broken(ValueError):
     """Not a baseline JPEG, or a damaged one."""
 
 
-def _fixed(dc: dict, ac: dict) -> tuple[int, int, np.ndarray] | None:
-    """Where each DC difference takes as many bits and no AC coefficient can
-    occur, a block has a fixed size: bits of the difference, of the end of
-    block, and the difference for each bit pattern."""
-    if len(ac) != 1 or next(iter(ac.values())) != 0 or len({n + v for (n, _), v in dc.items()}) != 1:
-        return None
-    (n, _), v = next(iter(dc.items()))
-    bits, end = n + v, next(n for (n, _) in ac)
-    if bits + end != 16:
-        return None
-    table = np.full(1 << bits, -(1 << 15), np.int16)
-    for (n, code), c in dc.items():
-        for x in range(1 << c):
-            table[code << c | x] = x if not c or x >> (c - 1) else x - (1 << c) + 1
-    return bits, end, table
+@lru_cache(256)
+def _lookup(counts: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """By the next 16 bits: length of the code that they start with (0: none), value."""
+    size, value = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
+    code = k = 0
+    for length, n in enumerate(counts, 1):
+        for _ in range(n):
+            a, z = code << (16 - length), (code + 1) << (16 - length)
+            if z > 1 << 16 or k >= len(values):
+                raise Broken("a Huffman table is wrong")
+            size[a:z], value[a:z] = length, values[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return size, value
+
+
+@lru_cache(64)
+def _dc_table(counts: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """By the next 16 bits: bits of a DC difference (0: no such code) and the
+    difference, or ``FAR`` if it ends beyond them."""
+    size, c = _lookup(counts, values)
+    need = np.where((size > 0) & (c <= 11), size + c, 0)
+    n, cat = np.minimum(need, 16).astype(np.int64), c.astype(np.int64)
+    x = (np.arange(1 << 16) >> (16 - n)) & ((1 << np.minimum(cat, 16)) - 1)
+    diff = np.where((cat == 0) | (x >> np.maximum(cat - 1, 0) > 0), x, x - (1 << np.minimum(cat, 16)) + 1)
+    return need.astype(np.uint8), np.where(need > 16, FAR, diff).astype(np.int32)
+
+
+@lru_cache(64)
+def _ac_table(counts: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """By the next 16 bits: bits of an AC code with its coefficient (0: no such code),
+    and run and size."""
+    size, rs = _lookup(counts, values)
+    return np.where(size > 0, size + (rs & 15), 0).astype(np.uint8), rs
+
+
+FAR = 1 << 20
+
+
+def _windows(data: bytes) -> np.ndarray:
+    """The 16 bits from each bit on; ones after the end."""
+    d = np.frombuffer(data + b"\xff\xff", np.uint8).astype(np.uint32)
+    w = d[:-2] << 16 | d[1:-1] << 8 | d[2:]
+    out = np.empty((len(w), 8), np.uint16)
+    for o in range(8):
+        out[:, o] = (w >> (8 - o)) & 0xFFFF
+    return out.ravel()
+
+
+def _dc_of(data: bytes, comps: list[Component], mcus: int) -> list[np.ndarray]:
+    """DC differences of each component of a scan without restarts, added up."""
+    end, bit, done = 8 * len(data), 0, 0
+    out: list[list[np.ndarray]] = [[] for _ in comps]
+    lone = len(comps) == 1 and comps[0].blocks == 1
+    while done < mcus:
+        if bit > end:
+            raise Broken("the scan is too short")
+        first = bit >> 3
+        piece = data[first : first + PIECE + REACH]
+        w = _windows(piece + b"\xff" * REACH)
+        limit, at = 8 * min(PIECE, len(piece)), bit & 7
+        tables = [(_dc_table(*c.dc), _ac_table(*c.ac)) for c in comps]
+        far = [(dc[0][w].tobytes(), ac[0][w].tobytes(), ac[1][w].tobytes()) for dc, ac in tables]
+        places: list[list[int]] = [[] for _ in comps]
+        if lone:
+            # Blocks without AC coefficients are one step.
+            (dc, _), (ac, rs) = tables[0]
+            size = dc[w]
+            nxt = np.minimum(np.arange(len(w), dtype=np.int32) + size, len(w) - 1)
+            ends = w[nxt]
+            step = np.where((size > 0) & (rs[ends] == 0) & (ac[ends] > 0), size + ac[ends], 0).astype(np.uint8).tobytes()
+            see, one = places[0].append, far[0]
+            while done < mcus and at < limit:
+                see(at)
+                at = at + step[at] if step[at] else _block(at, *one)
+                done += 1
+        else:
+            while done < mcus and at < limit:
+                for c, comp in enumerate(comps):
+                    for _ in range(comp.blocks):
+                        places[c].append(at)
+                        at = _block(at, *far[c])
+                        if at > limit + 8 * REACH // 2 and at > 8 * len(piece):
+                            raise Broken("the scan is too short")
+                done += 1
+        for c, where in enumerate(places):
+            p = np.array(where, np.int64)
+            d = tables[c][0][1][w[p]]
+            for k in np.flatnonzero(d == FAR).tolist():
+                d[k] = _difference(piece, int(p[k]), comps[c])
+            out[c].append(d)
+        if at <= (bit & 7):
+            raise Broken("the scan is too short")
+        bit = 8 * first + at
+    if bit > end:
+        raise Broken("the scan is too short")
+    return [np.cumsum(np.concatenate(d), dtype=np.int64) for d in out]
 
 
-def _scan_fixed(data: bytes, blocks: int, fixed: tuple[int, int, np.ndarray], end_code: int) -> np.ndarray:
-    bits, end, table = fixed
-    if len(data) < 2 * blocks:
-        raise Broken("the scan is too short")
-    w = np.frombuffer(data, ">u2", blocks)
-    if ((w & ((1 << end) - 1)) != end_code).any():
-        raise Broken("a block has no end")
-    d = table[w >> end]
-    if (d == -(1 << 15)).any():
-        raise Broken("unknown code")
-    return np.cumsum(d, dtype=np.int32)
-
-
-class _Bits:
-    def __init__(self, data: bytes):
-        self.data, self.at, self.have, self.n = data, 0, 0, 0
-
-    def take(self, k: int) -> int:
-        while self.n < k:
-            byte = self.data[self.at] if self.at < len(self.data) else 0xFF
-            self.at += 1
-            self.have = (self.have << 8 | byte) & ((1 << 40) - 1)
-            self.n += 8
-        self.n -= k
-        return self.have >> self.n & ((1 << k) - 1)
-
-    def symbol(self, table: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (n, code) in table:
-                return table[n, code]
+def _block(at: int, dc: bytes, ac: bytes, rs: bytes) -> int:
+    """Where the block that starts at a bit ends."""
+    if not dc[at]:
         raise Broken("unknown code")
+    at += dc[at]
+    k = 1
+    while k < 64:
+        if at >= len(ac):
+            raise Broken("the scan is too short")
+        x = rs[at]
+        if not ac[at]:
+            raise Broken("unknown code")
+        at += ac[at]
+        if x == 0:
+            break
+        k += (x >> 4) + 1
+    return at
 
 
-def _scan(parts: list[bytes], comps: list[dict], mcus: int, every: int) -> list[list[int]]:
-    """DC values of each component, in the order of the scan; any tables."""
-    out: list[list[int]] = [[] for _ in comps]
-    done = 0
-    for part in parts:
-        bits, last = _Bits(part), [0] * len(comps)
-        for _ in range(min(every or mcus, mcus - done)):
-            done += 1
-            for c, comp in enumerate(comps):
-                for _ in range(comp["blocks"]):
-                    n = bits.symbol(comp["dc"])
-                    x = bits.take(n) if n else 0
-                    last[c] += x if not n or x >> (n - 1) else x - (1 << n) + 1
-                    out[c].append(last[c])
-                    k = 1
-                    while k < 64:
-                        s = bits.symbol(comp["ac"])
-                        if s & 15:
-                            bits.take(s & 15)
-                        elif s != 0xF0:
-                            break
-                        k += (s >> 4) + 1
-            if bits.at > len(part) + 8:
-                raise Broken("the scan is too short")
-    if done < mcus:
-        raise Broken("the scan is too short")
-    return out
+def _difference(data: bytes, at: int, comp: Component) -> int:
+    """A DC difference that ends beyond 16 bits."""
+    size, value = _lookup(*comp.dc)
+    bits = int.from_bytes((data[at >> 3 : (at >> 3) + 5] + b"\xff" * 5)[:5])
+    head = bits >> (24 - (at & 7)) & 0xFFFF
+    n, c = int(size[head]), int(value[head])
+    x = bits >> (40 - (at & 7) - n - c) & ((1 << c) - 1)
+    return x if x >> (c - 1) else x - (1 << c) + 1
+
+
+@dataclass(frozen=True)
+class Component:
+    """Of a scan: its place in the frame, blocks of a unit, tables."""
+
+    part: int
+    blocks: int
+    dc: tuple[bytes, bytes]
+    ac: tuple[bytes, bytes]
+
+
+_AFTER = re.compile(rb"\xff(?![\x00\xd0-\xd7])", re.S)
+_RESTART = re.compile(rb"\xff[\xd0-\xd7]", re.S)
 
 
 def decode_one(data: bytes, at: int = 0) -> tuple[int, int, np.ndarray, int]:
-    """(width, height, luminance thumbnail, where the image ends)."""
+    """(width, height, luminance thumbnail, where the image ends).  The luminance is
+    the frame's first component, in whichever scan it is."""
     if data[at : at + 2] != b"\xff\xd8":
         raise Broken("no start of image")
     at += 2
-    quant, tables, every, frame = {}, {}, 0, None
+    quant: dict[int, int] = {}
+    tables: dict[int, tuple[bytes, bytes]] = {}
+    every, frame, luma = 0, None, None
     while True:
-        if at + 4 > len(data) or data[at] != 0xFF:
+        if at + 2 > len(data) or data[at] != 0xFF:
             raise Broken("a marker is missing")
         marker = data[at + 1]
         if marker == 0xFF:
             at += 1
             continue
+        if marker == 0xD9:
+            at += 2
+            break
+        if at + 4 > len(data):
+            raise Broken("a marker is missing")
         size = struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
@@ -192,61 +288,70 @@ def decode_one(data: bytes, at: int = 0) -> tuple[int, int, np.ndarray, int]:
         elif marker == 0xC4:
             k = 0
             while k < len(body):
-                counts = list(body[k + 1 : k + 17])
-                tables[body[k]] = huffman(counts, list(body[k + 17 : k + 17 + sum(counts)]))
-                k += 17 + sum(counts)
+                n = sum(body[k + 1 : k + 17])
+                tables[body[k]] = body[k + 1 : k + 17], body[k + 17 : k + 17 + n]
+                k += 17 + n
         elif marker == 0xC0:
             depth, high, wide, n = struct.unpack_from(">BHHB", body)
-            if depth != 8:
-                raise Broken("not 8 bits")
+            if depth != 8 or not high or not wide or not n:
+                raise Broken("not 8 bits, or no size")
             frame = (wide, high, [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)])
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise Broken("not baseline")
         elif marker == 0xDD:
             every = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            break
-    if frame is None:
-        raise Broken("no frame")
+            if frame is None:
+                raise Broken("no frame")
+            end = _AFTER.search(data, at)
+            if end is None:
+                raise Broken("no end of image")
+            got = _scan(data[at : end.start()], body, frame, tables, every)
+            luma, at = (got if luma is None else luma), end.start()
+    if frame is None or luma is None:
+        raise Broken("no frame or no scan")
     wide, high, parts = frame
-    end = at
-    while True:
-        end = data.find(b"\xff", end)
-        if end < 0 or end + 1 >= len(data):
-            raise Broken("no end of image")
-        if data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
-            end += 2
-            continue
-        break
-    raw, chosen = data[at:end], {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
     tops = [max(p[1] for p in parts), max(p[2] for p in parts)]
-    lone = len(parts) == 1
-    cols, rows = -(-wide // (8 * (1 if lone else tops[0]))), -(-high // (8 * (1 if lone else tops[1])))
-    comps = [{"blocks": 1 if lone else p[1] * p[2], "dc": tables[chosen[p[0]] >> 4], "ac": tables[0x10 | chosen[p[0]] & 15]} for p in parts]
-    fixed = _fixed(comps[0]["dc"], comps[0]["ac"]) if lone and not every else None
-    if fixed:
-        dc = _scan_fixed(raw.replace(b"\xff\0", b"\xff"), cols * rows, fixed, next(c for (_, c) in comps[0]["ac"]))
-        luma = dc.reshape(rows, cols)
-    else:
-        pieces, last, k = [], 0, raw.find(b"\xff")
-        while k >= 0:
-            if 0xD0 <= raw[k + 1] <= 0xD7:
-                pieces.append(raw[last:k])
-                last = k + 2
-            k = raw.find(b"\xff", k + 2)
-        pieces = [p.replace(b"\xff\0", b"\xff") for p in [*pieces, raw[last:]]]
-        y = np.array(_scan(pieces, comps, cols * rows, every)[0], np.int32)
-        h, v = (1, 1) if lone else parts[0][1:3]
-        luma = y.reshape(rows, cols, v, h).transpose(0, 2, 1, 3).reshape(rows * v, cols * h)
     luma = luma[: -(-high * parts[0][2] // (8 * tops[1])), : -(-wide * parts[0][1] // (8 * tops[0]))]
-    pixels = np.clip((luma * quant[parts[0][3]] + 4) // 8 + 128, 0, 255).astype(np.uint8)
-    return wide, high, pixels, end + 2
+    return wide, high, np.clip((luma * quant[parts[0][3]] + 4) // 8 + 128, 0, 255).astype(np.uint8), at
+
+
+def _scan(raw: bytes, head: bytes, frame: tuple, tables: dict[int, tuple[bytes, bytes]], every: int) -> np.ndarray | None:
+    """The DC values of the frame's first component, in rows; None if this scan has
+    others only."""
+    wide, high, parts = frame
+    number = {p[0]: k for k, p in enumerate(parts)}
+    chosen = [(number[head[1 + 2 * i]], head[2 + 2 * i]) for i in range(head[0])]
+    if 0 not in [k for k, _ in chosen]:
+        return None
+    lone = len(chosen) == 1
+    comps = [Component(k, 1 if lone else parts[k][1] * parts[k][2], tables[t >> 4], tables[0x10 | t & 15]) for k, t in chosen]
+    tops = [max(p[1] for p in parts), max(p[2] for p in parts)]
+    if lone:  # its own blocks in rows
+        cols, rows = -(-wide * parts[0][1] // (8 * tops[0])), -(-high * parts[0][2] // (8 * tops[1]))
+    else:
+        cols, rows = -(-wide // (8 * tops[0])), -(-high // (8 * tops[1]))
+    left, found, pieces = cols * rows, [], _RESTART.split(raw)
+    for n, piece in enumerate(pieces):
+        mcus = min(every or left, left)
+        if not mcus:
+            break
+        if not every and n:
+            raise Broken("a restart that isn't announced")
+        got = _dc_of(piece.replace(b"\xff\0", b"\xff"), comps, mcus)
+        found.append(got[[c.part for c in comps].index(0)])
+        left -= mcus
+    if left:
+        raise Broken("the scan is too short")
+    y = np.concatenate(found)
+    h, v = (1, 1) if lone else parts[0][1:3]
+    return y.reshape(rows, cols, v, h).transpose(0, 2, 1, 3).reshape(rows * v, cols * h)
 
 
 def decode(data: bytes) -> list[tuple[int, int, np.ndarray]]:
-    """All images that follow each other in ``data``."""
+    """All images that follow each other in ``data``; what follows the last is left."""
     out, at = [], 0
-    while at < len(data):
+    while at < len(data) and (not at or data[at : at + 2] == b"\xff\xd8"):
         wide, high, thumb, at = decode_one(data, at)
         out.append((wide, high, thumb))
     return out
@@ -325,7 +430,7 @@ def features(docs: DataFrame) -> DataFrame:
     describes it (``COLUMNS``), a row for each row.
 
     Null texts are empty ones; an empty text is 64 bytes 0.  Texts of any length
-    are whole: beyond 524,224 bytes several images follow each other.  Equal
+    are whole: beyond 65,536 bytes several images follow each other.  Equal
     texts give equal values, a null doc_id stays null, and other columns are
     ignored."""
     ship(docs.sparkSession)
