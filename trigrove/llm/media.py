@@ -149,6 +149,18 @@ def _ac_table(counts: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.where(size > 0, size + (rs & 15), 0).astype(np.uint8), rs
 
 
+@lru_cache(64)
+def _flat_table(dc_counts: bytes, dc_values: bytes, ac_counts: bytes, ac_values: bytes) -> np.ndarray:
+    """By the next 16 bits: bits of a block without AC coefficients (0: it has some, or
+    there is no such code; 255: they don't tell)."""
+    (dc, _), (ac, rs) = _dc_table(dc_counts, dc_values), _ac_table(ac_counts, ac_values)
+    w = np.arange(1 << 16)
+    # What follows the difference, and ones: right if the end of block fits in.
+    rest = (w << dc.astype(np.int64) | (1 << dc.astype(np.int64)) - 1) & 0xFFFF
+    whole = dc.astype(np.int64) + ac[rest]
+    return np.where(dc == 0, 0, np.where((dc <= 16) & (ac[rest] > 0) & (whole <= 16), np.where(rs[rest] == 0, whole, 0), 255)).astype(np.uint8)
+
+
 FAR = 1 << 20
 
 
@@ -175,31 +187,22 @@ def _dc_of(data: bytes, comps: list[Component], mcus: int) -> list[np.ndarray]:
         w = _windows(piece + b"\xff" * REACH)
         limit, at = 8 * min(PIECE, len(piece)), bit & 7
         tables = [(_dc_table(*c.dc), _ac_table(*c.ac)) for c in comps]
-        far = [(dc[0][w].tobytes(), ac[0][w].tobytes(), ac[1][w].tobytes()) for dc, ac in tables]
-        places: list[list[int]] = [[] for _ in comps]
         if lone:
-            # Blocks without AC coefficients are one step.
-            (dc, _), (ac, rs) = tables[0]
-            size = dc[w]
-            nxt = np.minimum(np.arange(len(w), dtype=np.int32) + size, len(w) - 1)
-            ends = w[nxt]
-            step = np.where((size > 0) & (rs[ends] == 0) & (ac[ends] > 0), size + ac[ends], 0).astype(np.uint8).tobytes()
-            see, one = places[0].append, far[0]
-            while done < mcus and at < limit:
-                see(at)
-                at = at + step[at] if step[at] else _block(at, *one)
-                done += 1
+            walked, at, done = _walk(w, tables[0], (*comps[0].dc, *comps[0].ac), at, limit, done, mcus)
+            places = [walked]
         else:
+            far = [_far(w, t) for t in tables]
+            seen: list[list[int]] = [[] for _ in comps]
             while done < mcus and at < limit:
                 for c, comp in enumerate(comps):
                     for _ in range(comp.blocks):
-                        places[c].append(at)
+                        seen[c].append(at)
                         at = _block(at, *far[c])
-                        if at > limit + 8 * REACH // 2 and at > 8 * len(piece):
+                        if at > 8 * len(piece) and at > limit + 4 * REACH:
                             raise Broken("the scan is too short")
                 done += 1
-        for c, where in enumerate(places):
-            p = np.array(where, np.int64)
+            places = [np.array(x, np.int64) for x in seen]
+        for c, p in enumerate(places):
             d = tables[c][0][1][w[p]]
             for k in np.flatnonzero(d == FAR).tolist():
                 d[k] = _difference(piece, int(p[k]), comps[c])
@@ -212,6 +215,56 @@ def _dc_of(data: bytes, comps: list[Component], mcus: int) -> list[np.ndarray]:
     return [np.cumsum(np.concatenate(d), dtype=np.int64) for d in out]
 
 
+def _far(w: np.ndarray, tables: tuple) -> tuple[bytes, bytes, bytes]:
+    (dc, _), (ac, rs) = tables
+    return dc[w].tobytes(), ac[w].tobytes(), rs[w].tobytes()
+
+
+def _walk(w: np.ndarray, tables: tuple, of: tuple[bytes, bytes, bytes, bytes], at: int, limit: int, done: int, mcus: int) -> tuple[np.ndarray, int, int]:
+    """Where the blocks of one component start, from ``at`` up to ``limit``; where the
+    next one starts; blocks done.  A block without AC coefficients is one step, and 16
+    such steps in a row are one leap; only other blocks are read code by code."""
+    (dc, _), (ac, rs) = tables
+    step = _flat_table(*of)[w]
+    beyond = np.flatnonzero(step == 255)
+    size = dc[w[beyond]]
+    after = w.take(beyond + size, mode="clip")
+    step[beyond] = np.where((size > 0) & (rs[after] == 0) & (ac[after] > 0), size + ac[after], 0)
+    leap, at_least = step.astype(np.uint16), np.flatnonzero(step)
+    for _ in range(4):  # only few positions are a block's start, or look like it
+        one, more = leap[at_least], leap.take(at_least + leap[at_least], mode="clip")
+        leap[at_least] = np.where(more > 0, one + more, 0)
+        at_least = at_least[more > 0]
+    far = None
+    seen: list[int] = []
+    wide = bytearray()
+    one, sixteen, see, mark = step.tobytes(), memoryview(leap), seen.append, wide.append
+    while done < mcus and at < limit:
+        see(at)
+        if (n := sixteen[at]) and done + 16 <= mcus:
+            mark(1)
+            at += n
+            done += 16
+            continue
+        mark(0)
+        if n := one[at]:
+            at += n
+        else:
+            far = far or _far(w, tables)
+            at = _block(at, *far)
+        done += 1
+    many = np.frombuffer(wide, np.uint8) > 0
+    count = np.where(many, 16, 1)
+    first = np.cumsum(count) - count
+    p, cur = np.empty(int(count.sum()), np.int64), np.array(seen, np.int64)
+    p[first] = cur
+    cur, first = cur[many], first[many]
+    for k in range(1, 16):
+        cur = cur + step[cur]
+        p[first + k] = cur
+    return p, at, done
+
+
 def _block(at: int, dc: bytes, ac: bytes, rs: bytes) -> int:
     """Where the block that starts at a bit ends."""
     if not dc[at]:
