@@ -1,5 +1,7 @@
+import base64
 import gzip
 import hashlib
+import uuid
 
 import pytest
 from fixtures import edge_pages
@@ -40,6 +42,58 @@ def test_a_wrong_payload_digest_is_an_error():
         list(warc.read([warc.member(warc.record(1, "u", b"hello", hashlib.sha256(b"other").hexdigest(), None))]))
 
 
+def b32(data, algorithm="sha1"):
+    return f"{algorithm}:" + base64.b32encode(hashlib.new(algorithm, data).digest()).decode()
+
+
+def foreign(kind, block, **headers):
+    """A record as other writers make it."""
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, kind + str(len(block)))}>", "WARC-Date: 2020-02-02T02:02:02Z", *(f"{k.replace('_', '-')}: {v}" for k, v in headers.items())]
+    return gzip.compress(("WARC/1.0\r\n" + "\r\n".join(head) + f"\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n")
+
+
+def test_archives_of_others(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"3\r\nabc\r\n2\r\nde\r\n0\r\n\r\n"
+    kind = {"Content_Type": "application/http; msgtype=response"}
+    made = [
+        foreign("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        foreign("response", http + b"<p>hello", WARC_Target_URI="http://x/\r\n  y", WARC_Payload_Digest=b32(b"<p>hello"), WARC_Block_Digest=b32(http + b"<p>hello"), **kind),
+        foreign("response", chunked, WARC_Payload_Digest=b32(b"abcde"), **kind),
+        foreign("revisit", http, WARC_Refers_To="<urn:uuid:1>", WARC_Payload_Digest=b32(b"<p>hello"), **kind),
+        foreign("resource", b"data", WARC_Payload_Digest="md5:" + hashlib.md5(b"data").hexdigest()),
+        foreign("metadata", b"", WARC_Payload_Digest="other:1"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(made))
+    (tmp_path / "b.warc.gz").write_bytes(b"")
+    got = warc.entries(spark, str(tmp_path), payloads=True).orderBy("place").collect()
+    assert [r.record_type for r in got] == ["warcinfo", "request", "response", "response", "revisit", "resource", "metadata"]
+    assert [bytes(r.payload) if r.payload is not None else None for r in got] == [b"software: x\r\n", b"", b"<p>hello", chunked.partition(b"\r\n\r\n")[2], None, b"data", b""]
+    assert got[2].target_uri == "http://x/ y" and got[2].payload_digest == hashlib.sha256(b"<p>hello").hexdigest() and got[2].payload_bytes == 8
+    assert got[4].refers_to == "<urn:uuid:1>" and got[4].payload_bytes is None and got[0].record_id.startswith("<urn:uuid:")
+    assert [r.payload for r in warc.entries(spark, str(tmp_path)).collect()] == [None] * 7
+    # As segments of pages: what isn't one is left out, ids are null.
+    segment = spark.createDataFrame([(0, 0, bytearray(b"".join(made[:4])))], "archive long, seq int, data binary")
+    assert [(r.page_id, r.payload_bytes, r.record_type) for r in warc.records(segment).collect()] == [(None, 8, "response"), (None, 20, "response")]
+
+
+def test_files_of_our_own_are_entries_too(spark, tmp_path):
+    made = warc.write(spark.createDataFrame([(i, "http://h/", "x" * 100) for i in range(5)], "page_id long, url string, html string"))
+    warc.export(made, str(tmp_path))
+    got = warc.entries(spark, str(tmp_path / "*.warc.gz")).collect()
+    assert sorted((r.record_id, r.record_type, r.refers_to) for r in got) == [("<urn:page:0>", "response", None)] + [(f"<urn:page:{i}>", "revisit", "<urn:page:0>") for i in range(1, 5)]
+
+
+@pytest.mark.parametrize("refers", [(7, b"x" * 100), (1, b"y" * 100)])
+def test_revisits_of_nothing_or_of_another_payload_are_errors(spark, refers):
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    page, body = refers
+    data = warc.member(warc.record(1, "u", b"x" * 100, digest(b"x" * 100), None)) + warc.member(warc.record(2, "u", body, digest(body), page))
+    with pytest.raises(warc.Damaged, match="page 2 revisits"):
+        warc.records(spark.createDataFrame([(0, 0, bytearray(data))], "archive long, seq int, data binary"))
+
+
 def test_edges(spark):
     got = warc.records(warc.write(edge_pages(spark))).collect()
     assert len(got) == 7

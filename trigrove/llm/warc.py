@@ -1,8 +1,9 @@
 """WARC archives: a gzip member per record, written and read in sequence.
 
-An archive is a table of segments (archive, seq, data): its segments in order of
-seq are a .warc.gz file byte for byte, and each is whole members.  That way
-archives live wherever Spark can write; ``export`` makes files of them."""
+An archive that this module writes is a table of segments (archive, seq, data): its
+segments in order of seq are a .warc.gz file byte for byte, and each is whole members.
+That way archives live wherever Spark can write; ``export`` makes files of them.
+``entries`` reads any .warc.gz files of that form, whoever wrote them."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -70,14 +71,54 @@ class Record:
     block: bytes = b""
 
     def page(self, name: str = "warc-record-id") -> int | None:
+        """The page that an id of our own stands for."""
         found = re.fullmatch(r"<urn:page:(-?\d+)>", self.headers.get(name, ""))
         return int(found[1]) if found else None
 
+    @property
+    def kind(self) -> str:
+        return self.headers.get("warc-type", "")
+
+    def is_http(self) -> bool:
+        return self.headers.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+
     def http(self) -> tuple[dict[str, str], bytes]:
         head, _, body = self.block.partition(b"\r\n\r\n")
         pairs = (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])
         return {k.strip().lower(): v.strip() for k, _, v in pairs}, body
 
+    def payload(self) -> bytes:
+        """What was transferred: of an HTTP message its body (as it is stored), else the block."""
+        return self.http()[1] if self.is_http() else self.block
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """A body without its transfer coding in chunks; None if it has none."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = re.match(rb"[0-9A-Fa-f]+", body[at:end] if end >= 0 else b"")
+        if size is None:
+            return None
+        n = int(size[0], 16)
+        out.append(body[end + 2 : end + 2 + n])
+        if len(out[-1]) < n:
+            return None
+        if n == 0:
+            return b"".join(out)
+        at = end + 2 + n + 2
+
+
+def _agrees(said: str, data: bytes) -> bool:
+    """Whether a labelled digest is that of the data, in base 32 or hexadecimal; those
+    of unknown algorithms can't be told and agree."""
+    name, _, value = said.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("sha1", "sha256", "sha384", "sha512", "md5"):
+        return True
+    raw = hashlib.new(name, data).digest()
+    return value.strip().rstrip("=").upper() in (base64.b32encode(raw).decode().rstrip("="), raw.hex().upper())
+
 
 def _members(chunks: Iterable[bytes]) -> Iterator[bytes]:
     """What each gzip member unpacks to; of the archive one chunk is held."""
@@ -99,12 +140,12 @@ def _members(chunks: Iterable[bytes]) -> Iterator[bytes]:
 
 
 def read(chunks: Iterable[bytes]) -> Iterator[Record]:
-    """Records in order: one member each, framed by Content-Length, with their
-    block digest and (of responses) payload digest verified."""
+    """Records in order, of any type: one member each, framed by Content-Length, with
+    their block digest and (of responses and resources) payload digest verified."""
     for data in _members(chunks):
         head, mark, rest = data.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-        if not mark or not lines[0].startswith("WARC/1."):
+        lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "surrogateescape")).split("\r\n")
+        if not mark or not lines[0].startswith("WARC/"):
             raise Damaged("not a WARC record")
         r = Record({k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])})
         try:
@@ -114,15 +155,21 @@ def read(chunks: Iterable[bytes]) -> Iterator[Record]:
         if rest[size:] != b"\r\n\r\n":
             raise Damaged("the length is wrong")
         r.block = rest[:size]
-        said = r.headers.get("warc-block-digest", "")
-        if said.startswith("sha1:") and said != _sha1(r.block):
+        if not _agrees(r.headers.get("warc-block-digest", ""), r.block):
             raise Damaged("the block isn't what its digest says")
         said = r.headers.get("warc-payload-digest", "")
-        if r.headers.get("warc-type") == "response" and said.startswith("sha256:") and said[7:] != hashlib.sha256(r.http()[1]).hexdigest():
-            raise Damaged("the payload isn't what its digest says")
+        # A segment's payload is only part of what its digest is of.
+        if r.kind in ("response", "resource") and said and "warc-segment-number" not in r.headers:
+            body = r.payload()
+            if not _agrees(said, body) and ((plain := _unchunked(body)) is None or not _agrees(said, plain)):
+                raise Damaged("the payload isn't what its digest says")
         yield r
 
 
+def _slices(data: bytes) -> Iterator[bytes]:
+    return (data[k : k + 65536] for k in range(0, len(data), 65536))
+
+
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, size, archive, seq = [], 0, None, 0
     for pdf in batches:
@@ -144,12 +191,18 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for data in pdf["data"]:
             rows = []
-            for r in read(data[k : k + 65536] for k in range(0, len(data), 65536)):
-                kind = r.headers["warc-type"]
+            for r in read(_slices(data)):
+                if r.kind not in ("response", "revisit") or not r.is_http():
+                    continue
+                whole = r.kind == "response"
                 fields, body = r.http()
-                size = len(body) if kind == "response" else int(fields["content-length"])
-                digest = hashlib.sha256(body).hexdigest() if kind == "response" else r.headers["warc-payload-digest"][7:]
-                rows.append((r.page(), size, digest, kind, r.page("warc-refers-to"), r.headers.get("warc-target-uri", "")))
+                try:
+                    size = len(body) if whole else int(fields["content-length"])
+                except (KeyError, ValueError) as e:
+                    raise Damaged("a revisit of no length") from e
+                said = r.headers.get("warc-payload-digest", "")
+                digest = hashlib.sha256(body).hexdigest() if whole else said.partition(":")[2]
+                rows.append((r.page(), size, digest, r.kind, r.page("warc-refers-to"), r.headers.get("warc-target-uri", "")))
             out = pd.DataFrame(rows, columns=names)
             yield plain(out).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
@@ -177,16 +230,64 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def records(archives: DataFrame) -> DataFrame:
-    """Reads archives back, each record once: page_id, payload_bytes,
-    payload_digest, record_type, refers_to, url.  The first two of a revisit are
-    those of the payload that it stands for.  A damaged archive is an error."""
+    """Reads archives of pages back, each record once: page_id, payload_bytes,
+    payload_digest, record_type, refers_to, url.  The first two of a revisit are those
+    of the payload that it stands for; they are compared with the response that it
+    refers to, which must be in the archives.  Records of other types are no pages and
+    left out, ids that aren't of pages are null.  A damaged archive, or a revisit of
+    nothing or of another payload, is an error.  No segments, no records."""
     ship(archives.sparkSession)
-    return archives.select("data").mapInPandas(_unpack, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    rows = archives.select("data").mapInPandas(_unpack, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    rows = staged(rows, "warc-records")
+    # As many rows as there are payloads that are stored once for several pages.
+    again = rows.where("record_type = 'revisit'").groupBy("refers_to", "payload_digest", "payload_bytes").agg(F.min("page_id").alias("page"))
+    there = rows.where("record_type = 'response'").select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).distinct()
+    lost = again.join(there, (again["refers_to"] == there["p"]) & (again["payload_digest"] == there["d"]) & (again["payload_bytes"] == there["b"]), "left_anti").first()
+    if lost is not None:
+        raise Damaged(f"page {lost.page} revisits page {lost.refers_to}, which has no such payload")
+    return rows
+
+
+ENTRY = "file string, place long, record_type string, record_id string, target_uri string, date string, refers_to string, payload_bytes long, payload_digest string, declared_digest string, payload binary"
+
+
+def _entries(payloads: bool):
+    names = [c.split()[0] for c in ENTRY.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                rows, size = [], 0
+                for n, r in enumerate(read(_slices(data))):
+                    body, h = r.payload(), r.headers
+                    own = None if r.kind == "revisit" else (len(body), hashlib.sha256(body).hexdigest())
+                    text = lambda k, h=h: h[k].encode("utf-8", "surrogateescape").decode("utf-8", "replace") if k in h else None
+                    rows.append((path, n, r.kind, text("warc-record-id"), text("warc-target-uri"), text("warc-date"), text("warc-refers-to"), *(own or (None, None)), text("warc-payload-digest"), body if payloads and own else None))
+                    size += len(body) if payloads else 0
+                    if size > SEGMENT or len(rows) >= 10_000:
+                        yield plain(pd.DataFrame(rows, columns=names)).astype({"payload_bytes": "Int64"})
+                        rows, size = [], 0
+                yield plain(pd.DataFrame(rows, columns=names)).astype({"payload_bytes": "Int64"})
+
+    return run
+
+
+def entries(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+    """Every record, of any type, of the .warc.gz files that ``path`` names, whoever
+    wrote them (``ENTRY``): file, place in it, headers, and bytes and SHA-256 of the
+    payload, which of revisits are null; the payload itself if asked for.
+
+    A file is a task's and is in memory as it is stored, so it may have 2 GB at most
+    (the limit of Spark's reader of whole files); of its records one is unpacked at a
+    time.  Damage is an error; headers that a record doesn't have are null."""
+    ship(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(_entries(payloads), ENTRY)
 
 
 def export(archives: DataFrame, folder: str) -> list[str]:
     """Writes each archive as a .warc.gz file into a folder that the driver sees,
-    segment by segment."""
+    segment by segment; of no segments, none."""
     made: list[str] = []
     out = None
     for r in archives.orderBy("archive", "seq").toLocalIterator():
