@@ -13,6 +13,7 @@ def test_same_classes_as_comparing_all_pairs(spark, monkeypatch, num, small):
         monkeypatch.setattr(neardup, "BUCKET", 3)
         monkeypatch.setattr(neardup, "BLOCK", 4)
         monkeypatch.setattr(neardup, "PIVOTS", 1)
+        monkeypatch.setattr(neardup, "HOT", 1)
     rows = near_copies()
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), num, 100).collect()
     want, sizes = brute(rows, num, 100)
@@ -22,6 +23,38 @@ def test_same_classes_as_comparing_all_pairs(spark, monkeypatch, num, small):
     assert len(set(want.values())) < len(want)
 
 
+def test_many_documents_of_one_template_that_are_not_linked(spark, monkeypatch):
+    """One group of signatures, no link: nothing is compared across blocks, however many there are."""
+    monkeypatch.setattr(neardup, "BLOCK", 256)
+    template = " ".join(f"t{i}" for i in range(60))
+    rows = [(i, template + " " + " ".join(f"u{i}x{k}" for k in range(8))) for i in range(5000)]
+    rows += [(5000 + i, template + " " + " ".join(f"u{i}x{k}" for k in range(7))) for i in range(0, 40)]  # and some that are
+    across, real = [], neardup._across
+    monkeypatch.setattr(neardup, "_across", lambda w, num, den: across.append(w.count()) or real(w, num, den))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i if i < 5000 else i - 5000 for i, _ in rows}
+    assert across and across[0] <= 80
+
+
+def test_linked_sets_share_a_prefix():
+    rng, some = np.random.default_rng(8), 0
+    for num in (80, 85):
+        for _ in range(300):
+            n = int(rng.integers(1, 60))
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 2**63, int(rng.integers(0, 8))).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if not len(b) or 100 * both < num * (len(a) + len(b) - both):
+                continue
+            count = {x: int(rng.integers(2, 5)) for x in {*a.tolist(), *b.tolist()}}
+            of = lambda s, count=count: neardup.prefix(s, np.array([count[x] for x in s.tolist()]), num, 100)
+            small, large = sorted((a, b), key=len)
+            keys, early = of(small)
+            assert set(keys[early].tolist()) & set(of(large)[0].tolist())
+            some += 1
+    assert some > 50
+
+
 def test_keep_one_keeps_the_smallest_of_each_class_and_all_columns(spark):
     rows = near_copies()
     want, _ = brute(rows, 80, 100)

@@ -11,7 +11,10 @@ What meets is confirmed on full shingle sets.  No step lists the pairs of a
 group: keys yield spanning forests, their components ("groups") are compared in
 blocks through inverted lists, and again only forests leave a task.  A group of
 many blocks is first compared with a few pivots, which joins copies of one text
-at a linear cost; only blocks that this leaves apart are compared in pairs.
+at a linear cost.  What this leaves apart is narrowed by prefixes: of two linked sets
+the first shingles in any fixed order, as many as leave too few for a link, have one
+in common; with rare ones first, documents of one template that aren't linked share
+none and fall out.  Only blocks of what still hangs together are compared in pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +32,13 @@ from ..session import ship
 from .common import Forest, components, mix64, staged
 
 K, T, M = 64, 23, 12
+FEW = 200_000  # rows that are broadcast at most
 SHINGLE = 5
 BUCKET = 2048  # members of a key that are compared by signature in one task
 BLOCK = 1024  # documents of a block
 BLOCK_SHINGLES = 1_000_000  # and shingles of a block, on average
+HOT = 100_000  # rows of one set from which they aren't shuffled to their class; of N rows there are N / HOT such sets at most
+SLOTS = 1 << 20  # of the table by which shingles are counted
 PIVOTS = 32  # documents, about, of a group of several blocks that each of its blocks is compared with first
 _rng = np.random.default_rng(20240501)
 _MUL = (_rng.integers(0, 2**31, K, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -273,10 +280,17 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     wide = firsts.where("nb > 1")
     if not wide.isEmpty():
         links = staged(links.unionByName(_pivoted(wide, links, num, den)), "nd-pivoted")
-        links = links.unionByName(_across(wide, links, num, den))
+        links = links.unionByName(_across(_narrowed(wide, links, num, den), num, den))
     root = components(links, "nd-cc").selectExpr("node as rid", "root")
     named = classes.select("h1", "h2", "rid", "copies").join(root, "rid", "left").select("h1", "h2", F.coalesce("root", "rid").alias("cid"), "copies")
-    out = sketch.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    named = staged(named, "nd-named")
+    slim, on = sketch.select("doc_id", "n", "h1", "h2"), ["h1", "h2"]
+    hot = named.where(F.col("copies") > HOT)
+    if hot.limit(FEW + 1).count() > FEW:
+        raise ValueError("too many sets of HOT rows to send: raise HOT")
+    told = slim.join(F.broadcast(hot), on)
+    rest = slim.join(F.broadcast(hot.select(*on)), on, "left_anti").join(named.where(F.col("copies") <= HOT), on, "left")
+    out = told.unionByName(rest)
     cid = F.when(F.col("n") > 0, F.col("cid")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
@@ -301,14 +315,93 @@ def _pivoted(wide: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame
     return _compare(parts, num, den)
 
 
-def _across(wide: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between blocks of groups of more than one block.
+def prefix(s: np.ndarray, count: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set of n, by ``count`` and then value, and which of them
+    come so early that a linked set of n or more has one of them among its own first.
+
+    With a similarity of t, a linked set has t * n of it at least: among all but so many
+    there is one.  One that isn't smaller has 2 * t / (1 + t) * n.  Shingles counted
+    once are left out: no other set has them."""
+    n = len(s)
+    first = np.lexsort((s, count))[: n - -(-num * n // den) + 1]
+    early = np.arange(len(first)) < n - -(-2 * num * n // (num + den)) + 1
+    shared = count[first] > 1
+    return s[first][shared], early[shared]
+
+
+def _slots(gid: int, s: np.ndarray) -> np.ndarray:
+    return (mix64(s + np.uint64(gid & (2**64 - 1))) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(SLOTS, np.int64)
+    for pdf in batches:
+        for gid, text in zip(pdf["gid"].tolist(), pdf["text"], strict=True):
+            np.add.at(total, _slots(gid, shingle_set(text)), 1)
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"slot": at, "n": total[at]})
+
+
+def _prefixes(sent: Broadcast, num: int, den: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 200):
+                part = pdf.iloc[at : at + 200]
+                keys, early, sizes = [], [], []
+                for gid, text in zip(part["gid"].tolist(), part["text"], strict=True):
+                    s = shingle_set(text)
+                    k, e = prefix(s, sent.value[_slots(gid, s)], num, den)
+                    keys.append(k.view(np.int64))
+                    early.append(e)
+                    sizes.append(len(s))
+                if keys:
+                    many = [len(k) for k in keys]
+                    same = {c: np.repeat(x, many) for c, x in (("gid", part["gid"].to_numpy()), ("rid", part["rid"].to_numpy()), ("n", np.array(sizes, np.int64)))}
+                    yield pd.DataFrame({**same, "key": np.concatenate(keys), "early": np.concatenate(early)})[["gid", "key", "rid", "n", "early"]]
+
+    return run
+
+
+def _unsettled(w: DataFrame) -> DataFrame:
+    """Groups that the links so far don't connect."""
+    return w.join(w.groupBy("gid").agg((F.min("known") < F.max("known")).alias("open")).where("open").select("gid"), "gid")
+
+
+def _narrowed(wide: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """Of groups of several blocks what may still be linked across them: gid, nb, known
+    (the component so far), rid, text.  Groups are cut where no prefix is shared; a
+    bucket of a shingle gives one edge for each member, not its pairs.
+
+    Shingles are counted by slots of a table of fixed size, added up over partitions
+    first.  A count may be too high by others in its slot, never too low, and the
+    order is the same for all documents of a group, so nothing is lost."""
+    root = components(links, "nd-part").selectExpr("node as rid", "root")
+    w = wide.join(root, "rid", "left").select("gid", F.coalesce("root", "rid").alias("known"), "rid", "text")
+    w = staged(_unsettled(w), "nd-open")
+    tally = w.select("gid", "text").mapInPandas(_tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    count = np.zeros(SLOTS, np.int32)
+    for r in tally.collect():  # SLOTS rows at most
+        count[r.slot] = min(r.n, 2**31 - 1)
+    sent = w.sparkSession.sparkContext.broadcast(count)
+    keys = staged(w.select("gid", "rid", "text").mapInPandas(_prefixes(sent, num, den), "gid long, key long, rid long, n long, early boolean"), "nd-prefix")
+    # Two linked sets meet where the smaller has a shingle early.  The smallest such set
+    # of a shingle stands for all: whoever isn't smaller than it is joined to it.
+    low = F.min(F.when(F.col("early"), F.struct("n", "rid"))).alias("low")
+    full = keys.groupBy("gid", "key").agg(F.count(F.lit(1)).alias("m"), low).where("m > 1 and low is not null").drop("m")
+    edges = keys.join(full, ["gid", "key"]).where("n >= low.n").selectExpr("rid as u", "low.rid as v")
+    cut = components(edges, "nd-cut").selectExpr("node as rid", "root as gid")
+    w = _unsettled(w.drop("gid").join(cut, "rid"))
+    size = w.groupBy("gid").agg(F.count(F.lit(1)).alias("gn"), F.sum(F.length("text")).alias("gs"))
+    blocks = F.greatest(F.ceil(F.col("gn") / BLOCK), F.ceil(F.col("gs") / (6 * BLOCK_SHINGLES)), F.lit(1)).cast("int")
+    return staged(w.join(size.select("gid", blocks.alias("nb")), "gid"), "nd-narrowed")
+
+
+def _across(w: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between blocks of groups of more than one block (of ``_narrowed``).
 
     What the blocks have shown to be connected is settled by a chain: documents
     are dealt into blocks anew, those of a large known component into blocks of
     their own, and two blocks of one component aren't compared."""
-    root = components(links, "nd-part").selectExpr("node as rid", "root")
-    w = wide.join(root, "rid", "left").withColumn("known", F.coalesce("root", "rid")).drop("root")
     per = w.groupBy("gid", "known").agg(F.count(F.lit(1)).alias("kn"))
     own = F.col("kn") >= BLOCK // 2
     of = per.groupBy("gid").agg(F.sum("kn").alias("gn"), F.sum(F.when(~own, F.col("kn")).otherwise(0)).alias("mixed"))
