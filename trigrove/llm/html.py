@@ -22,6 +22,7 @@ from html import unescape
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,7 +204,7 @@ def _outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each page how many lines its neighbour has too, and which of them go."""
+    """Of each page how many lines its neighbour has too, and which of its text's go."""
     for pdf in batches:
         many, gone = [], []
         for own, kinds, other, common in zip(pdf["hashes"], pdf["kinds"], pdf["other"], pdf["common"], strict=True):
@@ -211,18 +212,32 @@ def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             both = shared(own, other.tolist()) if other is not None else [False] * len(own)
             site = set(common.tolist()) if common is not None else ()
             many.append(sum(both))
-            gone.append([i for i, x in enumerate(own) if both[i] and kinds[i] == OPEN and x in site])
+            text = [i for i, k in enumerate(kinds) if k != GONE]
+            gone.append([n for n, i in enumerate(text) if both[i] and kinds[i] == OPEN and own[i] in site])
         yield pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "n_shared": pd.Series(many, dtype="int64", index=pdf.index), "gone": pd.Series(gone, index=pdf.index, dtype=object)})
 
 
+def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The text that structure leaves, compressed: it is about to be shuffled."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for pdf in batches:
+        out = pdf[["k1", "k2", "page_id", "url"]].copy()
+        out["packed"] = [pack("\n".join(x for x, k in zip(*blocks(h), strict=True) if k != GONE).encode("utf-8", "surrogatepass")) for h in pdf["html"]]
+        yield plain(out)
+
+
 def _rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for pdf in batches:
-        text, cut = [], []
-        for h, gone in zip(pdf["html"], pdf["gone"], strict=True):
+        texts, cut = [], []
+        for packed, gone in zip(pdf["packed"], pdf["gone"], strict=True):
+            text = unpack(packed).decode("utf-8", "surrogatepass")
             without = set(gone.tolist()) if gone is not None else ()
-            text.append("\n".join(x for i, (x, k) in enumerate(zip(*blocks(h), strict=True)) if k != GONE and i not in without))
+            if without:
+                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in without)
+            texts.append(text)
             cut.append(len(without))
-        out = pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_shared": pdf["n_shared"].fillna(0).astype("int64")})
+        out = pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_shared": pdf["n_shared"].fillna(0).astype("int64")})
         out["n_removed"] = pd.Series(cut, dtype="int64", index=out.index)
         yield plain(out)
 
@@ -278,8 +293,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     host has fewer than ``SITE_PAGES`` distinct pages loses no line to differences.
     Other columns are ignored.
 
-    The lines travel as hashes; texts are read twice and shuffled once, to meet what
-    the alignment says of them."""
+    The lines travel as hashes; pages are read twice, and their texts shuffled once,
+    compressed, to meet what the alignment says of them."""
     ship(pages.sparkSession)
     p = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     whole = [x for c in ("page_id", "url", "html") for x in (F.col(c).isNull(), F.col(c))]
@@ -292,6 +307,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     said = near.mapInPandas(_align, "k1 long, k2 long, n_shared long, gone array<int>")
     said = said.groupBy("k1", "k2").agg(F.first("n_shared").alias("n_shared"), F.first("gone").alias("gone"))
     # Never a broadcast: what is said grows with the pages.
-    out = p.join(said.hint("merge"), ["k1", "k2"], "left").select("page_id", "url", "html", "n_shared", "gone")
+    packed = p.mapInPandas(_texts, "k1 long, k2 long, page_id long, url string, packed binary")
+    out = packed.join(said.hint("merge"), ["k1", "k2"], "left").select("page_id", "url", "packed", "n_shared", "gone")
     out = out.mapInPandas(_rebuild, "page_id long, url string, text string, n_shared long, n_removed long")
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared", "n_removed")
