@@ -32,6 +32,7 @@ from ..session import ship
 from .common import Forest, components, mix64, staged
 
 K, T, M = 64, 23, 12
+SPREAD = 64  # keys that a group is spread over where its rows meet what is known of it
 FEW = 200_000  # rows that are broadcast at most
 SHINGLE = 5
 BUCKET = 2048  # members of a key that are compared by signature in one task
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     groups = groups.join(reps.select("rid", "n"), "rid")
     sizes = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("gn"), F.sum("n").alias("gs"))
     blocks = F.greatest(F.ceil(F.col("gn") / BLOCK), F.ceil(F.col("gs") / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    groups = groups.join(sizes.select("gid", blocks.alias("nb")), "gid")
+    groups = _told(groups, sizes.select("gid", blocks.alias("nb")), ["gid"])
     groups = groups.withColumn("b", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
     firsts = src.join(groups.select("gid", "nb", "b", "rid"), src["doc_id"] == groups["rid"])
     firsts = staged(firsts.select("gid", "nb", "b", "rid", "text"), "nd-texts")
@@ -362,9 +363,16 @@ def _prefixes(sent: Broadcast, num: int, den: int):
     return run
 
 
+def _told(rows: DataFrame, each: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (with rid) joined with what is known of their group.  A group is spread over
+    ``SPREAD`` keys, so that a large one isn't one task's; its one row is repeated."""
+    spread = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SPREAD)).cast("int")).join(spread, [*by, "salt"]).drop("salt")
+
+
 def _unsettled(w: DataFrame) -> DataFrame:
     """Groups that the links so far don't connect."""
-    return w.join(w.groupBy("gid").agg((F.min("known") < F.max("known")).alias("open")).where("open").select("gid"), "gid")
+    return _told(w, w.groupBy("gid").agg((F.min("known") < F.max("known")).alias("open")).where("open").select("gid"), ["gid"])
 
 
 def _narrowed(wide: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
@@ -393,7 +401,7 @@ def _narrowed(wide: DataFrame, links: DataFrame, num: int, den: int) -> DataFram
     w = _unsettled(w.drop("gid").join(cut, "rid"))
     size = w.groupBy("gid").agg(F.count(F.lit(1)).alias("gn"), F.sum(F.length("text")).alias("gs"))
     blocks = F.greatest(F.ceil(F.col("gn") / BLOCK), F.ceil(F.col("gs") / (6 * BLOCK_SHINGLES)), F.lit(1)).cast("int")
-    return staged(w.join(size.select("gid", blocks.alias("nb")), "gid"), "nd-narrowed")
+    return staged(_told(w, size.select("gid", blocks.alias("nb")), ["gid"]), "nd-narrowed")
 
 
 def _across(w: DataFrame, num: int, den: int) -> DataFrame:
@@ -405,7 +413,7 @@ def _across(w: DataFrame, num: int, den: int) -> DataFrame:
     per = w.groupBy("gid", "known").agg(F.count(F.lit(1)).alias("kn"))
     own = F.col("kn") >= BLOCK // 2
     of = per.groupBy("gid").agg(F.sum("kn").alias("gn"), F.sum(F.when(~own, F.col("kn")).otherwise(0)).alias("mixed"))
-    w = w.join(per, ["gid", "known"]).join(of, "gid")
+    w = _told(_told(w, per, ["gid", "known"]), of, ["gid"])
     # Blocks of a known component are named by it; those of mixed documents by -1.
     w = w.withColumn("own", F.when(own, F.col("known")).otherwise(F.lit(-1)))
     share = lambda n: F.ceil(F.col("nb") * n / F.col("gn"))
