@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
         "nd-classes",
     )
     reps = classes.where("rid is not null").select("rid", "sig", "n")
-    keys = reps.select("rid", "sig").mapInPandas(_keys, "key long, rid long")
+    # Written once: counted and joined below, neither of which then runs beside Python.
+    keys = staged(reps.select("rid", "sig").mapInPandas(_keys, "key long, rid long"), "nd-keys")
     # Keys with company; of keys with the same members, one.
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("low"), F.bit_xor(F.xxhash64("rid")).alias("who")).where("m > 1")
     some = full.groupBy("m", "low", "who").agg(F.min("key").alias("key")).select("key", "m", "low")
