@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from fixtures import components as brute
 from fixtures import edge_docs, near_copies
@@ -36,6 +39,32 @@ def test_many_documents_of_one_template_that_are_not_linked(spark, monkeypatch):
     assert across and across[0] <= 80
 
 
+def test_a_full_table_of_counts_is_small_on_the_driver(spark, monkeypatch):
+    """All slots counted, as many or long documents of large groups do; counts that are too high lose nothing."""
+    for name, n in (("BUCKET", 3), ("BLOCK", 4), ("PIVOTS", 1)):
+        monkeypatch.setattr(neardup, name, n)
+    slots, real, narrow, peaks = neardup.SLOTS, neardup._tally, neardup._narrowed, []
+
+    def full(batches):
+        yield from real(batches)
+        yield pd.DataFrame({"slot": np.arange(slots), "n": np.full(slots, 1000)})
+
+    def narrowed(*args):
+        tracemalloc.start()
+        try:
+            return narrow(*args)
+        finally:
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+
+    monkeypatch.setattr(neardup, "_tally", full)
+    monkeypatch.setattr(neardup, "_narrowed", narrowed)
+    rows = near_copies()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows, 85, 100)[0]
+    assert len(peaks) == 1 and peaks[0] < 100e6
+
+
 def test_linked_sets_share_a_prefix():
     rng, some = np.random.default_rng(8), 0
     for num in (80, 85):

@@ -388,9 +388,9 @@ def _narrowed(wide: DataFrame, links: DataFrame, num: int, den: int) -> DataFram
     w = wide.join(root, "rid", "left").select("gid", F.coalesce("root", "rid").alias("known"), "rid", "text")
     w = staged(_unsettled(w), "nd-open")
     tally = w.select("gid", "text").mapInPandas(_tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    told = tally.toArrow()  # SLOTS rows at most; as columns these are 16 MB, as Row objects hundreds
     count = np.zeros(SLOTS, np.int32)
-    for r in tally.collect():  # SLOTS rows at most
-        count[r.slot] = min(r.n, 2**31 - 1)
+    count[told["slot"].to_numpy()] = np.minimum(told["n"].to_numpy(), 2**31 - 1)
     sent = w.sparkSession.sparkContext.broadcast(count)
     keys = staged(w.select("gid", "rid", "text").mapInPandas(_prefixes(sent, num, den), "gid long, key long, rid long, n long, early boolean"), "nd-prefix")
     # Two linked sets meet where the smaller has a shingle early.  The smallest such set
