@@ -6,7 +6,7 @@ import pytest
 from fixtures import components as brute
 from fixtures import edge_docs, near_copies
 
-from trigrove.llm import neardup
+from trigrove.llm import common, neardup
 from trigrove.llm.common import components
 
 
@@ -65,6 +65,25 @@ def test_a_full_table_of_counts_is_small_on_the_driver(spark, monkeypatch):
     assert len(peaks) == 1 and peaks[0] < 100e6
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_nothing_that_grows_with_the_input_is_broadcast(spark, monkeypatch, small):
+    """Not even where Spark takes a table for small: the driver would build it."""
+    if small:
+        for name, n in (("BUCKET", 3), ("BLOCK", 4), ("PIVOTS", 1)):
+            monkeypatch.setattr(neardup, name, n)
+    plans, real = [], common.staged
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (common, neardup):
+        monkeypatch.setattr(module, "staged", lambda df, name: plans.append((name, plan(df))) or real(df, name))
+    monkeypatch.setattr(neardup, "components", lambda edges, name: components(edges, name, limit=2))
+    rows = near_copies()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute(rows, 85, 100)[0]
+    assert any("SortMergeJoin" in p for _, p in plans)
+    assert [name for name, p in plans if "Broadcast" in p] == []
+    assert plan(got).count("BroadcastHashJoin") == 2  # the sets of HOT rows, whose number is bounded
+
+
 def test_linked_sets_share_a_prefix():
     rng, some = np.random.default_rng(8), 0
     for num in (80, 85):

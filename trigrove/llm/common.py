@@ -43,6 +43,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unsent(rows: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: joined by a shuffle, never broadcast.
+
+    Spark broadcasts what is small as stored.  Columns of ids and counts are stored in
+    a tenth of the memory that they take as a broadcast, which the driver builds."""
+    return rows.hint("merge")
+
+
 EDGES = 200_000
 
 
@@ -84,16 +92,16 @@ def components(edges: DataFrame, name: str = "cc", limit: int = EDGES) -> DataFr
         hook = staged(e.groupBy("a").agg(F.min("b").alias("p")), f"{name}-hook")
         while True:
             up = hook.selectExpr("a as p", "p as q")
-            nxt = hook.join(up, "p", "left").selectExpr("a", "coalesce(q, p) as p", "q is not null as moved")
+            nxt = hook.join(unsent(up), "p", "left").selectExpr("a", "coalesce(q, p) as p", "q is not null as moved")
             nxt = staged(nxt, f"{name}-jump")
             hook = nxt.select("a", "p")
             if nxt.where("moved").isEmpty():
                 break
         root = staged(_rooted(root, hook), f"{name}-root")
         e = (
-            e.join(hook.selectExpr("a", "p as ra"), "a", "left")
+            e.join(unsent(hook.selectExpr("a", "p as ra")), "a", "left")
             .selectExpr("coalesce(ra, a) as a", "b")
-            .join(hook.selectExpr("a as b", "p as rb"), "b", "left")
+            .join(unsent(hook.selectExpr("a as b", "p as rb")), "b", "left")
             .selectExpr("a", "coalesce(rb, b) as b")
             .where("a <> b")
             .selectExpr("greatest(a, b) as a", "least(a, b) as b")
@@ -105,7 +113,7 @@ def components(edges: DataFrame, name: str = "cc", limit: int = EDGES) -> DataFr
 
 
 def _rooted(root: DataFrame, hook: DataFrame) -> DataFrame:
-    return root.join(hook.selectExpr("a as root", "p"), "root", "left").selectExpr("node", "coalesce(p, root) as root")
+    return root.join(unsent(hook.selectExpr("a as root", "p")), "root", "left").selectExpr("node", "coalesce(p, root) as root")
 
 
 def plain(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Forest, components, mix64, staged
+from .common import Forest, components, mix64, staged, unsent
 
 K, T, M = 64, 23, 12
 SPREAD = 64  # keys that a group is spread over where its rows meet what is known of it
@@ -264,18 +264,18 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     # Keys with company; of keys with the same members, one.
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("low"), F.bit_xor(F.xxhash64("rid")).alias("who")).where("m > 1")
     some = full.groupBy("m", "low", "who").agg(F.min("key").alias("key")).select("key", "m", "low")
-    members = staged(keys.join(some, "key").select("key", "rid", "m", "low"), "nd-members")
-    few = members.where(F.col("m") <= BUCKET).select("key", "rid").join(reps.select("rid", "sig"), "rid")
+    members = staged(keys.join(unsent(some), "key").select("key", "rid", "m", "low"), "nd-members")
+    few = members.where(F.col("m") <= BUCKET).select("key", "rid").join(unsent(reps.select("rid", "sig")), "rid")
     near = few.repartition("key").sortWithinPartitions("key", "rid").mapInPandas(_near_runs, "u long, v long")
     # A larger key isn't looked into: all its members are one group, compared in blocks below.
     hot = members.where(F.col("m") > BUCKET).selectExpr("rid as u", "low as v")
     groups = components(near.unionByName(hot), "nd-group").selectExpr("node as rid", "root as gid")
-    groups = groups.join(reps.select("rid", "n"), "rid")
+    groups = groups.join(unsent(reps.select("rid", "n")), "rid")
     sizes = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("gn"), F.sum("n").alias("gs"))
     blocks = F.greatest(F.ceil(F.col("gn") / BLOCK), F.ceil(F.col("gs") / BLOCK_SHINGLES), F.lit(1)).cast("int")
     groups = _told(groups, sizes.select("gid", blocks.alias("nb")), ["gid"])
     groups = groups.withColumn("b", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
-    firsts = src.join(groups.select("gid", "nb", "b", "rid"), src["doc_id"] == groups["rid"])
+    firsts = src.join(unsent(groups.select("gid", "nb", "b", "rid")), src["doc_id"] == groups["rid"])
     firsts = staged(firsts.select("gid", "nb", "b", "rid", "text"), "nd-texts")
     inner = firsts.select("gid", F.col("b").alias("b1"), F.col("b").alias("b2"), F.lit(0).alias("side"), F.lit(-1).cast("long").alias("known"), "rid", "text")
     links = staged(_compare(inner, num, den), "nd-links")
@@ -284,14 +284,14 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
         links = staged(links.unionByName(_pivoted(wide, links, num, den)), "nd-pivoted")
         links = links.unionByName(_across(_narrowed(wide, links, num, den), num, den))
     root = components(links, "nd-cc").selectExpr("node as rid", "root")
-    named = classes.select("h1", "h2", "rid", "copies").join(root, "rid", "left").select("h1", "h2", F.coalesce("root", "rid").alias("cid"), "copies")
+    named = classes.select("h1", "h2", "rid", "copies").join(unsent(root), "rid", "left").select("h1", "h2", F.coalesce("root", "rid").alias("cid"), "copies")
     named = staged(named, "nd-named")
     slim, on = sketch.select("doc_id", "n", "h1", "h2"), ["h1", "h2"]
     hot = named.where(F.col("copies") > HOT)
     if hot.limit(FEW + 1).count() > FEW:
         raise ValueError("too many sets of HOT rows to send: raise HOT")
     told = slim.join(F.broadcast(hot), on)
-    rest = slim.join(F.broadcast(hot.select(*on)), on, "left_anti").join(named.where(F.col("copies") <= HOT), on, "left")
+    rest = slim.join(F.broadcast(hot.select(*on)), on, "left_anti").join(unsent(named.where(F.col("copies") <= HOT)), on, "left")
     out = told.unionByName(rest)
     cid = F.when(F.col("n") > 0, F.col("cid")).otherwise(F.col("doc_id"))
     return out.select(
@@ -308,7 +308,7 @@ def _pivoted(wide: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame
     each group those with a small hash, ``PIVOTS`` on average, sent to all its
     blocks.  It only saves work: what no pivot links, ``_across`` compares."""
     root = components(links, "nd-inner").selectExpr("node as rid", "root")
-    w = wide.join(root, "rid", "left").select("gid", "nb", "b", F.coalesce("root", "rid").alias("known"), "rid", "text")
+    w = wide.join(unsent(root), "rid", "left").select("gid", "nb", "b", F.coalesce("root", "rid").alias("known"), "rid", "text")
     w = staged(w, "nd-members-known")
     chosen = w.where(F.pmod(F.xxhash64(F.lit(5), "rid"), F.col("nb") * BLOCK) < PIVOTS)
     sent = chosen.select("gid", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("to"), "b", "known", "rid", "text").where("to <> b")
@@ -368,7 +368,7 @@ def _told(rows: DataFrame, each: DataFrame, by: list[str]) -> DataFrame:
     """Rows (with rid) joined with what is known of their group.  A group is spread over
     ``SPREAD`` keys, so that a large one isn't one task's; its one row is repeated."""
     spread = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SPREAD)).cast("int")).join(spread, [*by, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SPREAD)).cast("int")).join(unsent(spread), [*by, "salt"]).drop("salt")
 
 
 def _unsettled(w: DataFrame) -> DataFrame:
@@ -385,7 +385,7 @@ def _narrowed(wide: DataFrame, links: DataFrame, num: int, den: int) -> DataFram
     first.  A count may be too high by others in its slot, never too low, and the
     order is the same for all documents of a group, so nothing is lost."""
     root = components(links, "nd-part").selectExpr("node as rid", "root")
-    w = wide.join(root, "rid", "left").select("gid", F.coalesce("root", "rid").alias("known"), "rid", "text")
+    w = wide.join(unsent(root), "rid", "left").select("gid", F.coalesce("root", "rid").alias("known"), "rid", "text")
     w = staged(_unsettled(w), "nd-open")
     tally = w.select("gid", "text").mapInPandas(_tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     told = tally.toArrow()  # SLOTS rows at most; as columns these are 16 MB, as Row objects hundreds
@@ -397,9 +397,9 @@ def _narrowed(wide: DataFrame, links: DataFrame, num: int, den: int) -> DataFram
     # of a shingle stands for all: whoever isn't smaller than it is joined to it.
     low = F.min(F.when(F.col("early"), F.struct("n", "rid"))).alias("low")
     full = keys.groupBy("gid", "key").agg(F.count(F.lit(1)).alias("m"), low).where("m > 1 and low is not null").drop("m")
-    edges = keys.join(full, ["gid", "key"]).where("n >= low.n").selectExpr("rid as u", "low.rid as v")
+    edges = keys.join(unsent(full), ["gid", "key"]).where("n >= low.n").selectExpr("rid as u", "low.rid as v")
     cut = components(edges, "nd-cut").selectExpr("node as rid", "root as gid")
-    w = _unsettled(w.drop("gid").join(cut, "rid"))
+    w = _unsettled(w.drop("gid").join(unsent(cut), "rid"))
     size = w.groupBy("gid").agg(F.count(F.lit(1)).alias("gn"), F.sum(F.length("text")).alias("gs"))
     blocks = F.greatest(F.ceil(F.col("gn") / BLOCK), F.ceil(F.col("gs") / (6 * BLOCK_SHINGLES)), F.lit(1)).cast("int")
     return staged(_told(w, size.select("gid", blocks.alias("nb")), ["gid"]), "nd-narrowed")
@@ -424,9 +424,9 @@ def _across(w: DataFrame, num: int, den: int) -> DataFrame:
     ids = made.withColumn("blk", F.xxhash64("own", "slot"))
     left, right = ids.selectExpr("gid", "own as o1", "blk as b1"), ids.selectExpr("gid", "own as o2", "blk as b2")
     # Only what isn't settled: mixed blocks with each block, and blocks of different components.
-    pairs = left.join(right, "gid").where("b1 <= b2 and (o1 <> o2 or o1 = -1)").select("gid", "b1", "b2")
+    pairs = left.join(unsent(right), "gid").where("b1 <= b2 and (o1 <> o2 or o1 = -1)").select("gid", "b1", "b2")
     ends = pairs.selectExpr("gid", "b1", "b2", "b1 as blk", "0 as side").unionByName(pairs.where("b1 <> b2").selectExpr("gid", "b1", "b2", "b2 as blk", "1 as side"))
-    parts = w.withColumn("blk", F.xxhash64("own", "slot")).select("gid", "blk", "known", "rid", "text").join(ends, ["gid", "blk"])
+    parts = w.withColumn("blk", F.xxhash64("own", "slot")).select("gid", "blk", "known", "rid", "text").join(unsent(ends), ["gid", "blk"])
     return staged(_compare(parts.select("gid", "b1", "b2", "side", "known", "rid", "text"), num, den), "nd-across")
 
 
@@ -437,4 +437,4 @@ def keep_one(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
     copies included, if one of them has no text or a set that no row with an id
     has; otherwise all go."""
     kept = near_duplicates(docs, num, den).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return docs.join(unsent(kept), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
