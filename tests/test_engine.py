@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import threading
 import urllib.error
 import urllib.request
@@ -56,6 +57,38 @@ def test_ragged_rows_defaults_and_first_header(spark, config):
     assert {r.city for r in rows.values()} == {"OSLO"} and len(rows) == 7
 
 
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_a_file_is_read_in_pieces_like_as_a_whole(spark, tmp_path, ends):
+    """Cells over many lines, quotes that open nothing, blank lines, files without an end."""
+    rng = random.Random(3)
+    some = ["a", "", "b c", '"x, y"', '"two{}lines"', '"{}{}{}"', '5" pipe', 'a"b"', '"say ""hi"""', '"so"me', '"so"me "more"', ' "p"', '"', '""', "é", '"' + "long {}" * 20 + '"']
+    top = tmp_path / "many"
+    top.mkdir()
+    for name in "cab":
+        lines = [",".join(rng.choice([x for x in some if x != '"' or rng.random() < 0.1]).replace("{}", ends) for _ in range(rng.randint(1, 4))) for _ in range(120)]
+        (top / f"{name}.csv").write_bytes(("k,l" + ends + ends.join(lines) + ends * (name != "b")).encode())
+    schema, options = tabular._options(3, True)
+    plain = lambda r: tuple(x and x.replace("\r\n", "\n") for x in r)  # noqa: E731  the raw record, of which only separators are counted, may have either
+    want = []
+    for name in "abc":
+        want += [plain(r) for r in spark.read.schema(schema).options(header=True, **options).csv(str(top / f"{name}.csv")).collect()]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for size in ("400", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = tabular.cells(spark, str(top), 3, True)
+            tasks = got.rdd.getNumPartitions()
+            rows = got.orderBy("_place").collect()
+            assert [plain(r[1:]) for r in rows] == want
+            pieces = Counter(r._place >> tabular.BITS for r in rows)
+            assert all(sorted(r._place & tabular.LAST for r in rows if r._place >> tabular.BITS == p) == list(range(n)) for p, n in pieces.items())
+            assert tasks > 3 or size == "100000"
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_ids_follow_sources_then_records(engine):
     ids = [r.org for r in engine.collection.docs.orderBy("_doc_id").collect()]
     assert ids == ["o1", "o2", "o3", "o4", " o5 ", "o6", "o7", "b1", "b2"]

@@ -21,7 +21,8 @@ from .search import Collection, Query, Range
 
 MOST = 100_000  # matches that a request may page through, and that a total reports
 LIMIT, MAX_LIMIT = 20, 1000
-PARTS = 64  # files of the postings, by default
+PARTS = 64  # files of the postings at least, by default
+PART_TERMS = 1 << 20  # of documents whose postings are one file
 META, TABLES = "meta.json", ("docs", "postings", "term_stats", "field_stats")
 
 
@@ -66,7 +67,9 @@ def build(spark: SparkSession, config: Config, docs: DataFrame | None = None, pa
 
     def write_postings() -> None:
         order = ("field", "term", "_doc_id")
-        postings(d, fields).repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(f"{at}/postings")
+        lengths.result()
+        terms = spark.read.parquet(f"{at}/field_stats").agg(F.sum("tokens")).first()[0] or 0
+        postings(d, fields).repartitionByRange(max(parts, -(-terms // PART_TERMS)), *order).sortWithinPartitions(*order).write.parquet(f"{at}/postings")
         stats = term_stats(spark.read.parquet(f"{at}/postings")).unionByName(value_stats(d, fields))
         stats.sortWithinPartitions("field", "term").write.parquet(f"{at}/term_stats")
 
@@ -78,7 +81,8 @@ def build(spark: SparkSession, config: Config, docs: DataFrame | None = None, pa
 
     with ThreadPoolExecutor(4) as pool:  # jobs that don't wait for each other
         run = lambda job, *args: pool.submit(inheritable_thread_target(spark)(job), *args)
-        written = [run(write_postings), run(write_lengths)]
+        lengths = run(write_lengths)
+        written = [run(write_postings), lengths]
         found = {f.name: run(enum_values, d, f) for f in fields if f.type == "enum"}
         counted = run(count_rows)
         for job in written:

@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import Config, Field, Source
 from .plans.engine import BadRequest, SearchEngine, build, search_request
 from .plans.search import Query, Range
 from .session import fresh_path
-from .sources.tabular import from_table
+from .sources.tabular import BITS, LAST, from_table
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -44,9 +44,11 @@ _made: dict[tuple[str, str, str], str] = {}
 
 
 def _lines(df: DataFrame, key: str, line: str, head: str, path: str) -> None:
-    """One CSV file in order of ``key``, beneath a header."""
+    """CSV files in order of ``key``, each beneath a header."""
     rows = df.selectExpr(f"cast({key} as long) as k", f"{line} as value").unionByName(df.sparkSession.createDataFrame([(-1, head)], "k long, value string"))
-    rows.coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    first = (F.monotonically_increasing_id().bitwiseAND(LAST) == 0) & (F.col("k") >= 0)
+    dealt = rows.repartitionByRange("k").sortWithinPartitions("k")
+    dealt.select(F.when(first, F.concat(F.lit(head + "\n"), "value")).otherwise(F.col("value")).alias("value")).write.text(path)
 
 
 def _config(spark: SparkSession, sf_dir: str) -> Config:
@@ -81,9 +83,12 @@ def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _engine(spark, sf_dir)
     d = e.collection.docs
     # Ids follow the order of sources and records; here they are numbers without gaps.
-    first = d.groupBy(F.shiftright("_doc_id", 56).alias("src")).agg(F.min("_doc_id").alias("low"))
-    d = d.join(F.broadcast(first), F.shiftright("_doc_id", 56) == F.col("src"))
-    return d.select("src", (F.col("_doc_id") - F.col("low")).alias("place"), F.col("_source").alias("source"), "name", "segment", "balance", "code", "note", "good", "kind")
+    d = d.withColumn("piece", F.shiftright("_doc_id", BITS))
+    pieces = d.groupBy("piece").count().withColumn("src", F.shiftright("piece", 56 - BITS))
+    before = Window.partitionBy("src").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("piece", "src", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    d = d.join(F.broadcast(pieces), "piece")  # a row for each piece that the files were split into
+    return d.select("src", (F.col("before") + F.col("_doc_id").bitwiseAND(LAST)).alias("place"), F.col("_source").alias("source"), "name", "segment", "balance", "code", "note", "good", "kind")
 
 
 def _page(q: Query) -> Run:
