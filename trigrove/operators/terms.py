@@ -42,6 +42,17 @@ def postings(docs: DataFrame, fields: tuple[Field, ...], terms: dict[str, list[s
     return reduce(DataFrame.unionByName, parts)
 
 
+def by_document(docs: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+    """The same as ``postings`` of all terms, but those of a document, of all its fields,
+    follow each other."""
+    cut = [(trigrams if f.analyzed == "trigram" else text_words)(F.col(f.name)).alias(f"g{i}") for i, f in enumerate(fields)]
+    t = docs.select("_doc_id", *cut)
+    t = t.select("_doc_id", *[c for i in range(len(fields)) for c in (F.size(f"g{i}").alias(f"n{i}"), _tallied(F.col(f"g{i}")).alias(f"h{i}"))])
+    each = lambda i, f: F.transform(f"h{i}", lambda h: F.struct(F.lit(f.name).alias("field"), h["term"].alias("term"), h["tf"].alias("tf"), F.col(f"n{i}").alias("dl")))
+    all_ = F.flatten(F.array_compact(F.array(*[each(i, f) for i, f in enumerate(fields)])))
+    return t.select("_doc_id", F.explode_outer(all_).alias("h")).where("h is not null").select("h.field", "h.term", "_doc_id", "h.tf", "h.dl")
+
+
 def _tallied(terms: Column) -> Column:
     """Distinct elements of an array with how often they occur, by sorting it."""
 

@@ -7,19 +7,29 @@ documents' columns joined."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import RAW, Field
 from ..functions.canonical import filter_value, filter_values, query_trigrams, shown_value
-from ..operators.terms import field_stats, postings, term_stats
+from ..operators.terms import by_document, field_stats, postings, term_stats
+from ..session import ship
 
 K1, B = 1.2, 0.75
 LITERALS = 100  # terms of a query whose weights are part of the plan
 RANGES = 32  # of ids, that a page is fetched by
+ASKED = 200_000  # terms of all queries of a batch that are sent to the documents
+CELLS = 1 << 20  # scores of documents and queries that a task holds at once
+PAIRS = 1 << 18  # of terms of documents and queries that it scores at once
 
 
 @dataclass(frozen=True)
@@ -262,12 +272,44 @@ class Collection:
 
     def search_many(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """Fuzzy searches in one plan (an extension): ``queries(qid, q)`` ->
-        (qid, _doc_id, _score, _rank), the best ``limit`` of each.  Queries join
-        postings by trigram, so one job serves them all."""
+        (qid, _doc_id, _score, _rank), the best ``limit`` of each.  Up to ``ASKED``
+        terms of queries are sent to the documents; more join postings by trigram."""
         fuzzy = [f for f in self.fields if f.fuzzy and f.type == "text"]
         low = queries.select("qid", F.split(F.lower("q"), "").alias("c"))
         grams = F.filter(F.transform("c", lambda x, i: F.concat(x, F.get(F.col("c"), i + 1), F.get(F.col("c"), i + 2))), lambda g: g.isNotNull())
         asked = low.select("qid", F.explode(grams).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("k"))
+        few = asked.limit(ASKED + 1).toArrow()
+        scored = self._joined(asked, fuzzy) if few.num_rows > ASKED or not fuzzy else self._beaten(few, queries.schema["qid"], fuzzy, limit)
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("_score"), "_doc_id"))
+        return scored.withColumn("_rank", rank).where(F.col("_rank") <= limit)
+
+    def _beaten(self, asked: pa.Table, qid: StructField, fuzzy: list[Field], limit: int) -> DataFrame:
+        """(qid, _doc_id, _score) of what no ``limit`` others of its task beat, for a
+        bounded number of terms of queries, which are sent to where the documents lie.
+        No pair of a query and a document leaves a task but these."""
+        ship(self.spark)
+        qids, terms = asked["qid"].combine_chunks().dictionary_encode("encode"), asked["term"].combine_chunks().dictionary_encode()
+        names = qids.dictionary.to_pylist()
+        words = self.spark.createDataFrame(pd.DataFrame({"t": np.arange(len(terms.dictionary)), "term": terms.dictionary.to_pylist()}), "t long, term string")
+        fields = [f.name for f in fuzzy]
+        dealt = self.docs.select("_doc_id", *fields).repartition("_doc_id")  # a file may be few tasks
+        rows = by_document(dealt, tuple(fuzzy)).join(F.broadcast(words), "term")
+        stats = term_stats(postings(self.docs, tuple(fuzzy)).join(F.broadcast(words), "term")) if self.terms is None else self.terms.where(F.col("field").isin(fields)).join(F.broadcast(words), "term").select("field", "term", "df")
+        at = {w: i for i, w in enumerate(terms.dictionary.to_pylist())}
+        weights = np.zeros((len(fields), len(at)))
+        for r in stats.collect():  # a row for each field and term of the queries
+            weights[fields.index(r["field"]), at[r["term"]]] = idf(self.size, r["df"])
+        t = terms.indices.to_numpy()
+        order = np.argsort(t, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(at)))]).astype(np.int64)
+        table = (ends, qids.indices.to_numpy()[order].astype(np.int64), asked["k"].to_numpy()[order].astype(np.float64), weights, np.array([self.lengths[f][1] or 1.0 for f in fields]), len(names))
+        place = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col("field")) - 1
+        found = rows.select("_doc_id", place.cast("int").alias("f"), "t", "tf", "dl").mapInPandas(_best(self.spark.sparkContext.broadcast(table), limit), "q long, _doc_id long, _score double")
+        named = self.spark.createDataFrame(list(enumerate(names)), StructType([StructField("q", LongType()), qid]))
+        return found.join(F.broadcast(named), "q").select("qid", "_doc_id", "_score")
+
+    def _joined(self, asked: DataFrame, fuzzy: list[Field]) -> DataFrame:
+        """(qid, _doc_id, _score) of all pairs, by a shuffle: for any number of queries."""
         p = postings(self.docs, tuple(fuzzy)) if self.posted is None else self.posted.where(F.col("field").isin([f.name for f in fuzzy]))
         stats = term_stats(p) if self.terms is None else self.terms.where(F.col("field").isin([f.name for f in fuzzy]))
         n = self.size
@@ -275,9 +317,69 @@ class Collection:
         mean = F.create_map(*[x for f in fuzzy for x in (F.lit(f.name), F.lit(self.lengths[f.name][1]))])
         norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / mean[F.col("field")])
         s = F.col("k") * F.col("idf") * F.lit(K1 + 1) * F.col("tf") / (F.col("tf") + norm)
-        scored = asked.join(stats, "term").join(p, ["field", "term"]).groupBy("qid", "_doc_id").agg(F.round(F.sum(s), 9).alias("_score"))
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("_score"), "_doc_id"))
-        return scored.withColumn("_rank", rank).where(F.col("_rank") <= limit)
+        return asked.join(stats, "term").join(p, ["field", "term"]).groupBy("qid", "_doc_id").agg(F.round(F.sum(s), 9).alias("_score"))
+
+
+class _Top:
+    """The best of each query so far: by score, then _doc_id."""
+
+    def __init__(self, n: int, limit: int):
+        self.limit, self.q, self.d, self.s = limit, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least, self.last = np.zeros(n), np.full(n, np.iinfo(np.int64).min)
+
+    def add(self, ids: np.ndarray, score: np.ndarray) -> None:
+        """``score`` has a row for each id and a column for each query; 0 is no match."""
+        i, q = np.nonzero((score > self.least) | ((score == self.least) & (ids[:, None] < self.last)))
+        if not len(i):
+            return
+        q, d, s = np.concatenate([self.q, q]), np.concatenate([self.d, ids[i]]), np.concatenate([self.s, score[i, q]])
+        order = np.lexsort((d, -s, q))
+        q, d, s = q[order], d[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        full = place == self.limit - 1
+        self.least[q[full]], self.last[q[full]] = s[full], d[full]
+        self.q, self.d, self.s = (x[place < self.limit] for x in (q, d, s))
+
+
+def _best(sent: Broadcast, limit: int):
+    def scores(top: _Top, rows: dict[str, np.ndarray]) -> None:
+        ends, queries, times, weights, means, n = sent.value
+        ids = rows["_doc_id"]
+        new = np.concatenate([[True], ids[1:] != ids[:-1]])
+        doc, f, t, tf = np.cumsum(new) - 1, rows["f"], rows["t"], rows["tf"].astype(np.float64)
+        s = weights[f, t] * (K1 + 1) * tf / (tf + K1 * (1 - B + B * rows["dl"] / means[f]))
+        step = max(1, CELLS // n)
+        first = np.concatenate([np.flatnonzero(new), [len(ids)]])
+        for k in range(0, len(first) - 1, step):
+            a, b = first[k], first[min(k + step, len(first) - 1)]
+            m = min(step, len(first) - 1 - k)
+            total = np.zeros(m * n)
+            pairs = np.cumsum(ends[t[a:b] + 1] - ends[t[a:b]]) // PAIRS
+            cuts = [a, *(a + 1 + np.flatnonzero(pairs[1:] != pairs[:-1])).tolist(), b]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):  # each term of a document for all queries that have it
+                lo, many = ends[t[x:y]], ends[t[x:y] + 1] - ends[t[x:y]]
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+                total += np.bincount(np.repeat((doc[x:y] - k) * n, many) + queries[at], np.repeat(s[x:y], many) * times[at], m * n)
+            top.add(ids[first[k : k + m]], np.round(total, 9).reshape(m, n))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top, rest = _Top(sent.value[-1], limit), None
+        for pdf in batches:
+            rows = {c: pdf[c].to_numpy() for c in pdf.columns}
+            if rest is not None:
+                rows = {c: np.concatenate([rest[c], v]) for c, v in rows.items()}
+            ids = rows["_doc_id"]
+            if not len(ids):
+                continue
+            cut = len(ids) - int((ids[::-1] != ids[-1]).argmax()) if ids[0] != ids[-1] else 0
+            if cut:
+                scores(top, {c: v[:cut] for c, v in rows.items()})
+            rest = {c: v[cut:] for c, v in rows.items()}  # the last document may go on
+        if rest is not None:
+            scores(top, rest)
+        yield pd.DataFrame({"q": top.q, "_doc_id": top.d, "_score": top.s})
+
+    return run
 
 
 def _among(wanted: dict[str, list[str]]) -> Column:
